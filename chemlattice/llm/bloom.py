@@ -31,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chemlattice.functions.canon import mix
 from chemlattice.session import slots
 
 GROWTH, TIGHTEN, FILL = 2, 0.5, 0.5
 #: Keys of the first layer of a shard's chain and of a task's own chain.
 FIRST = 1 << 14
 #: Rows that one shard may expect; more rows mean more shards.
-SHARD_ROWS = 4_000_000
+SHARD_ROWS = 1_000_000
 
 
 class Layer:
@@ -50,7 +51,7 @@ class Layer:
 
     def _at(self, h1: np.ndarray, h2: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
-            p = (h1 + np.uint64(i) * h2 + np.uint64(i * i * i)) % np.uint64(self.m)
+            p = (h1 + np.uint64(i) * h2 + np.uint64((i**3 - i) // 6)) % np.uint64(self.m)  # enhanced double hashing
         return (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63))
 
     def contains(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -73,7 +74,7 @@ class Layer:
 
     @property
     def full(self) -> bool:
-        return self.set >= FILL * self.m
+        return self.count >= self.capacity or self.set >= FILL * self.m
 
     @property
     def measured_rate(self) -> float:
@@ -107,13 +108,13 @@ class Chain:
         at = 0
         while at < len(h1):
             layer = self.layers[-1] if self.layers and not self.layers[-1].full else self._open()
-            take = max(64, layer.capacity - layer.count)
+            take = layer.capacity - layer.count
             layer.add(h1[at : at + take], h2[at : at + take])
             at += take
 
     def seen(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """For keys in order: whether each stood before, here or earlier in the same call. Remembers them all."""
-        h2 = h2 | np.uint64(1)
+        h1, h2 = mix(h1), mix(h2)  # the shard is a remainder of h1, so its low bits say nothing here
         both = np.empty(len(h1), [("a", np.uint64), ("b", np.uint64)])
         both["a"], both["b"] = h1, h2
         _, first = np.unique(both, return_index=True)
