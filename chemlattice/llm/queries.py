@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chemlattice.llm import bloom
+from chemlattice.llm import bloom, multi_index
 from chemlattice.session import table
 
 
@@ -18,9 +18,19 @@ def p2_error_share(spark: SparkSession, d: str) -> DataFrame:
     return bloom.error_share(table(spark, d, "key_lookups"), table(spark, d, "smiles_index"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return multi_index.neighbour_pairs(table(spark, d, "fingerprint_index"))
+
+
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    return multi_index.recall(table(spark, d, "fingerprint_index"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_error_share": p2_error_share,
+    "p3_found": p3_found,
+    "p3_recall": p3_recall,
 }
 
 _KEY = "split_part(split_part(smiles, ' ', 1), chr(9), 1)"
