@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chemlattice.llm import bloom, multi_index
+from chemlattice.llm import bloom, multi_index, setjoin
 from chemlattice.session import table
 
 
@@ -26,11 +26,21 @@ def p3_recall(spark: SparkSession, d: str) -> DataFrame:
     return multi_index.recall(table(spark, d, "fingerprint_index"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return setjoin.similar_pairs(table(spark, d, "fingerprint_index"))
+
+
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    return setjoin.linked_rows(table(spark, d, "fingerprint_index"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_error_share": p2_error_share,
     "p3_found": p3_found,
     "p3_recall": p3_recall,
+    "p5_found": p5_found,
+    "p5_links": p5_links,
 }
 
 _KEY = "split_part(split_part(smiles, ' ', 1), chr(9), 1)"
