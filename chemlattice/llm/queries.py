@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chemlattice.llm import bloom, multi_index, setjoin
+from chemlattice.llm import bloom, leaks, multi_index, setjoin
 from chemlattice.session import table
 
 
@@ -34,6 +34,18 @@ def p5_links(spark: SparkSession, d: str) -> DataFrame:
     return setjoin.linked_rows(table(spark, d, "fingerprint_index"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.clean(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "n_chars", "repo", "file_path")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_error_share": p2_error_share,
@@ -41,6 +53,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_recall": p3_recall,
     "p5_found": p5_found,
     "p5_links": p5_links,
+    "p7_found": p7_found,
+    "p7_spans": p7_spans,
+    "p7_clean": p7_clean,
 }
 
 _KEY = "split_part(split_part(smiles, ' ', 1), chr(9), 1)"
