@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chemlattice.llm import bloom, leaks, multi_index, setjoin
+from chemlattice.llm import bloom, leaks, multi_index, residue, setjoin
 from chemlattice.session import table
 
 
@@ -46,6 +46,18 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return leaks.clean(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "n_chars", "repo", "file_path")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.classify(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return residue.classify(table(spark, d, "documents"))
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    return residue.clean(table(spark, d, "documents")).select("doc_id", "n_chars", "repo", "file_path")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_error_share": p2_error_share,
@@ -56,6 +68,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_spans": p7_spans,
     "p7_clean": p7_clean,
+    "p8_found": p8_found,
+    "p8_kinds": p8_kinds,
+    "p8_clean": p8_clean,
 }
 
 _KEY = "split_part(split_part(smiles, ' ', 1), chr(9), 1)"
