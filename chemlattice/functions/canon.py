@@ -74,16 +74,34 @@ class _Part:
         with np.errstate(over="ignore"):
             return mix(np.add.reduceat(mix(colour[self.source] ^ self.kind), self.start) ^ (colour << np.uint64(1)))
 
+    def restrict(self, keep: np.ndarray) -> _Part:
+        """The part that has only some of the vertices, whole graphs of them."""
+        out = object.__new__(_Part)
+        length = np.diff(np.append(self.start, len(self.source)))
+        edge = np.repeat(keep, length)
+        out.vertices, out.graph = self.vertices[keep], self.graph[keep]
+        out.source, out.kind = (np.cumsum(keep) - 1)[self.source[edge]], self.kind[edge]
+        out.start = np.cumsum(length[keep]) - length[keep]
+        return out
+
     def refine(self, colour: np.ndarray, every: int = 4) -> np.ndarray:
-        """Steps until no graph gets more colours."""
-        before = -1
-        while len(colour):
+        """Steps until a graph gets no more colours; how many that are depends on this graph alone."""
+        colour = colour.copy()
+        part, at = self, np.arange(len(colour))
+        before = np.zeros(int(self.graph[-1]) + 1 if len(at) else 0, np.int64)
+        while len(at):
+            c = colour[at]
             for _ in range(every):
-                colour = self.step(colour)
-            now = self.classes(colour)[1]
-            if now == before:
-                break
+                c = part.step(c)
+            colour[at] = c
+            order, _ = part.classes(c)
+            g, c = part.graph[order], c[order]
+            new = np.append(True, (g[1:] != g[:-1]) | (c[1:] != c[:-1]))
+            now = np.bincount(g[new], minlength=len(before))
+            keep = (now > before)[part.graph]
             before = now
+            if not keep.all():
+                part, at = part.restrict(keep), at[keep]
         return colour
 
     def classes(self, colour: np.ndarray) -> tuple[np.ndarray, int]:
