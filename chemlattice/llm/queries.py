@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chemlattice.llm import bloom, leaks, multi_index, residue, setjoin
+from chemlattice.llm import bloom, leaks, multi_index, residue, setjoin, small_world
 from chemlattice.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return small_world.repeats(table(spark, d, "smiles_index"), table(spark, d, "smiles_batches"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return bloom.seen_before(table(spark, d, "key_lookups"), table(spark, d, "smiles_index"))
 
@@ -59,6 +63,7 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_error_share": p2_error_share,
     "p3_found": p3_found,
