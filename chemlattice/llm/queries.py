@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chemlattice.llm import bloom, leaks, multi_index, residue, setjoin, small_world
+from chemlattice.llm import bloom, leaks, multi_index, packing, residue, setjoin, small_world
 from chemlattice.session import table
 
 
@@ -38,6 +38,15 @@ def p5_links(spark: SparkSession, d: str) -> DataFrame:
     return setjoin.linked_rows(table(spark, d, "fingerprint_index"))
 
 
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_targets"))
+
+
+def p6_usage(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "pack_targets")
+    return packing.usage(packing.pack(table(spark, d, "documents"), targets), targets)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -70,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_recall": p3_recall,
     "p5_found": p5_found,
     "p5_links": p5_links,
+    "p6_pack": p6_pack,
+    "p6_usage": p6_usage,
     "p7_found": p7_found,
     "p7_spans": p7_spans,
     "p7_clean": p7_clean,
