@@ -74,7 +74,6 @@ def _blank_pattern() -> re.Pattern:
 
 
 _BLANK = _blank_pattern()
-_MAY_BLANK = re.compile(r"[{<\[(#$]|@[A-Z]|%[A-Z]|__[A-Z]|REPLACE_WITH_|YOUR_|INSERT_|TODO_|xxx-")
 _QUOTED = re.compile(r"`[^`\n]*`")
 _TEMPLATE = re.compile(r"\{%[^%\n]{1,200}%\}|\{\{[^{}\n]{1,200}\}\}|<%[^%\n]{1,200}%>|#cmakedefine|@[A-Z][A-Z0-9_]*@")
 _MASHED = re.compile(r"(?m)^[ \t]*[asdfjklqwer]+ asdf[ \t]*\r?$")
@@ -210,8 +209,6 @@ class Exemplars:
         return covered
 
     def _unfilled(self, text: str) -> bool:
-        if not _MAY_BLANK.search(text):
-            return False
         plain = _QUOTED.sub(f" {NAME} ", text) if "`" in text else text
         marked, blanks = _BLANK.subn(f" {BLANK} ", plain)
         if not blanks or len(_TEMPLATE.findall(marked)) > blanks:
@@ -228,6 +225,36 @@ class Exemplars:
         return False
 
 
+def _blank_words() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words with which the name of a blank may begin; of those, the ones that need no mark before them."""
+    fields = {f.replace(" ", "_") for f in X.BLANK_FIELDS} | {f.split()[0] for f in X.BLANK_FIELDS}
+    whole = {f"__{f}__" for f in fields}
+    for before, _ in X.BLANK_STYLES:
+        word = re.sub(r"[^A-Za-z_]", "", before).lower()
+        if len(word) > 2:
+            (whole if word.endswith("_") else fields).update({word + f for f in fields} if word.endswith("_") else {word})
+    return np.sort(_hashes(sorted(fields | whole))), np.sort(_hashes(sorted(whole | {"xxx"})))
+
+
+_MARKS = np.zeros(256, bool)
+_MARKS[list({b.rstrip()[-1].encode()[0] for b, _ in X.BLANK_STYLES if not b.rstrip()[-1].isalpha()} | set(b"{<[(@%$#="))] = True
+
+
+def _member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(of, x)
+    at[at == len(of)] = 0
+    return of[at] == x
+
+
+def _may_be_unfilled(data: np.ndarray, h: np.ndarray, at: np.ndarray, names: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Words that may begin the name of a blank: a field's name behind a mark, or a word like YOUR_NAME."""
+    rows = np.flatnonzero(_member(h, names))
+    before = data[np.maximum(at[rows] - 1, 0)]
+    space = before == 32
+    before[space] = data[np.maximum(at[rows][space] - 2, 0)]
+    return rows[(_MARKS[before] & (at[rows] > 0)) | _member(h[rows], whole)]
+
+
 def _hashes(names: list[str]) -> np.ndarray:
     data = " ".join(names).encode()
     return words_of(np.frombuffer(data, np.uint8), np.zeros(1, np.int64))[0]
@@ -286,6 +313,7 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         filler = np.array(sorted(set().union(*exemplars.fillers)))
         filler_hashes = np.sort(_hashes([w for w in filler if w.isascii()]))
         n = len(need)
+        names, whole = _blank_words()
         for b in batches:
             out: list[dict] = []
             ids = b.column(0)
@@ -304,7 +332,9 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 k[k == len(filler_hashes)] = 0
                 may |= all_words <= SHORT
                 may |= 3 * np.bincount(owner[filler_hashes[k] == h], minlength=hi - lo) >= np.maximum(all_words, 1)
-                for i in range(hi - lo):
+                blank = np.zeros(hi - lo, bool)
+                blank[owner[_may_be_unfilled(data, h, at, names, whole)]] = True
+                for i in np.flatnonzero(may | blank).tolist():
                     t = texts[lo + i].as_py()
                     if may[i]:
                         found = exemplars.judge(t)
