@@ -43,6 +43,7 @@ MERGE = 16
 ROUNDS = 3
 REPACK = 0.97
 WEIGHTS = (1.0, 0.05, 0.05)
+MOST_TARGETS = 1000
 LEAST_TOKENS = 8  # a container has a place for a document for each so many tokens of its capacity
 
 
@@ -107,10 +108,14 @@ _PLACED = "target_id int, container_id long, doc_id long, piece_no int, first_to
 
 def _pieces(counts: DataFrame, targets: DataFrame, shards: int) -> DataFrame:
     """Items of each target: full containers of long documents (shard NULL), and what is to be packed."""
-    t = F.broadcast(targets.where("capacity_tokens > 0 and target_id is not null").select(F.col("target_id").cast("int").alias("target_id"), F.col("capacity_tokens").cast("long").alias("capacity")).distinct())
+    held = targets.where("capacity_tokens > 0 and target_id is not null").select("target_id", "capacity_tokens").distinct().limit(MOST_TARGETS + 1).collect()
+    if len(held) > MOST_TARGETS:
+        raise ValueError(f"at most {MOST_TARGETS} targets at once")
+    each = [F.struct(F.lit(r["target_id"]).cast("int").alias("target_id"), F.lit(r["capacity_tokens"]).cast("long").alias("capacity")) for r in held]
+    t = F.array(*each) if each else F.array().cast("array<struct<target_id:int,capacity:bigint>>")
     full = F.floor(F.col("n_tokens") / F.col("capacity")).cast("int")
     number = F.explode(F.sequence(F.lit(0), F.when(F.col("n_tokens") % F.col("capacity") == 0, full - 1).otherwise(full)))
-    cut = counts.join(t).select("target_id", "capacity", "doc_id", F.col("n_tokens").alias("total"), number.alias("piece_no"))
+    cut = counts.select("doc_id", "n_tokens", F.explode(t).alias("t")).select("doc_id", "n_tokens", "t.target_id", "t.capacity").select("target_id", "capacity", "doc_id", F.col("n_tokens").alias("total"), number.alias("piece_no"))
     first = F.col("piece_no").cast("long") * F.col("capacity")
     size = F.least(F.col("total") - first, F.col("capacity"))
     shard = F.when(size < F.col("capacity"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
