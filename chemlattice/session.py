@@ -57,3 +57,14 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 def slots(spark: SparkSession) -> int:
     """Tasks that can run at once."""
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of n partitions that ``repartition(n, key)`` sends to a partition of its own."""
+    found: dict[int, int] = {}
+    upto = 8 * n + 64
+    while len(found) < n:
+        for r in spark.range(upto).selectExpr("cast(id as int) AS k", f"pmod(hash(cast(id as int)), {n}) AS p").groupBy("p").agg({"k": "min"}).collect():
+            found.setdefault(r[0], r[1])
+        upto *= 2
+    return [found[i] for i in range(n)]
