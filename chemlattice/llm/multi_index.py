@@ -11,9 +11,10 @@ hold ``CANDIDATES`` fingerprints. These are reranked by exact likeness. A pair m
 either side counts for both.
 
 Work is split by cells: ranges of first-half centroids form parts of about
-equal load. Each part receives its own fingerprints and the queries that
-visit it. A centroid with more rows than ``PART_ROWS`` is split over several
-parts, and a query that visits it goes to each. Equal fingerprints are one
+equal work, as foreseen from a sample of queries. Each part receives its own
+fingerprints and the queries that visit it. A centroid with more work than a
+part should have gets several: its queries are dealt among them and its rows
+copied, and beyond ``PART_ROWS`` its rows are dealt too. Equal fingerprints are one
 class throughout, so copies are compared once; the classes' members are
 joined to the result at the end.
 
@@ -37,13 +38,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chemlattice.llm.fingerprints import N_BITS, WORDS, classes, matrix, members, unpack, valid
-from chemlattice.session import slots, stage
+from chemlattice.session import partition_keys, slots, stage
 
 SAMPLE = 20_000
 CANDIDATES = 1500
 MAX_K = 1024
 PART_ROWS = 100_000
 ROUNDS = 6
+WORK_SAMPLE = 2000  # sample queries from which the parts' work is foreseen
 REACH = 64  # centroids of each half that a query may combine
 BLOCK = 100_000  # pairs reranked at a time
 
@@ -97,22 +99,44 @@ def traverse(d0: list[float], d1: list[float], r0: list[int], r1: list[int], k:
     return out
 
 
-def _parts(counts: np.ndarray, k: int, centroids: np.ndarray, at_least: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """First part and number of parts of each first-half centroid; parts in all. Alike centroids get near parts."""
-    load = counts.reshape(k, k).sum(axis=1)
-    total = int(load.sum())
-    size = max(1, min(PART_ROWS, math.ceil(total / at_least)))
-    centred = centroids - centroids.mean(axis=0)
-    line = centred @ np.linalg.svd(centred, full_matrices=False)[2][0] if k > 1 else np.zeros(k)
-    first, many, part, held = np.zeros(k, np.int32), np.ones(k, np.int32), 0, 0
-    for c in np.argsort(line, kind="stable"):
-        if held and held + load[c] > size:
-            part, held = part + 1, 0
-        first[c], many[c] = part, max(1, math.ceil(load[c] / PART_ROWS))
-        held += int(load[c])
-        if many[c] > 1:
-            part, held = part + int(many[c]), 0
-    return first, many, part + 1
+class Plan:
+    """Which parts hold a first-half centroid's rows, and which of them a query visits.
+
+    A centroid's parts form a grid of ``rows`` by ``asks``: a filed row lies in one line of it, a query goes to one
+    column, so that each pair of them meets once. Centroids with little work share a part.
+    """
+
+    def __init__(self, counts: np.ndarray, k: int, work: np.ndarray, centroids: np.ndarray, at_least: int) -> None:
+        self.counts = counts
+        load = counts.reshape(k, k).sum(axis=1)
+        fair = max(1.0, work.sum() / at_least)
+        self.rows = np.maximum(1, -(-load // PART_ROWS)).astype(np.int32)
+        self.asks = np.maximum(1, np.ceil(work / self.rows / fair)).astype(np.int32)
+        centred = centroids - centroids.mean(axis=0)
+        line = centred @ np.linalg.svd(centred, full_matrices=False)[2][0] if k > 1 else np.zeros(k)
+        self.first = np.zeros(k, np.int32)
+        part, held = 0, 0.0
+        for c in np.argsort(line, kind="stable"):  # alike centroids, which the same queries visit, get near parts
+            many = int(self.rows[c] * self.asks[c])
+            if held and (many > 1 or held + work[c] > fair):
+                part, held = part + 1, 0.0
+            self.first[c] = part
+            held += float(work[c])
+            if many > 1:
+                part, held = part + many, 0.0
+        self.parts = part + 1
+        self.keys = np.arange(self.parts, dtype=np.int32)
+
+
+def _work(book: Codebook, sample: np.ndarray, counts: np.ndarray, enough: int) -> np.ndarray:
+    """Comparisons by first-half centroid that a sample of queries causes."""
+    out = np.ones(book.k)
+    for i in range(len(sample)):
+        dists = book.distances(sample[i : i + 1])
+        near = [np.argsort(d[0], kind="stable")[:REACH] for d in dists]
+        for c in traverse(dists[0][0][near[0]].tolist(), dists[1][0][near[1]].tolist(), near[0].tolist(), near[1].tolist(), book.k, counts, enough):
+            out[c // book.k] += counts[c]
+    return out
 
 
 _ROUTED_SQL = "part int, query boolean, rep long, cell int, cells binary, " + ", ".join(f"{w} long" for w in WORDS)
@@ -131,14 +155,19 @@ def _file(book, k: int):
 
 def _route(book, plan, k: int, enough: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, first, many = plan.value
+        p = plan.value
+        counts, keys = p.counts, p.keys
         reach = min(REACH, k)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
                 rep, cell = b["rep"].to_numpy(), b["cell"].to_numpy()
                 home = cell // k
-                where = (first[home] + rep % many[home]).astype(np.int32)
+                copies = p.asks[home]
+                filed_row = np.repeat(np.arange(b.num_rows), copies)
+                column = np.arange(len(filed_row)) - np.repeat(np.cumsum(copies) - copies, copies)
+                h = home[filed_row]
+                where = keys[p.first[h] + (rep[filed_row] % p.rows[h]) * p.asks[h] + column]
                 d = book.value.distances(matrix(b))
                 near = [np.argpartition(x, reach - 1, axis=1)[:, :reach] for x in d]
                 near = [np.take_along_axis(n, np.argsort(np.take_along_axis(x, n, 1), axis=1, kind="stable"), 1) for x, n in zip(d, near)]
@@ -148,16 +177,17 @@ def _route(book, plan, k: int, enough: int):
                     met = traverse(dist[0][i].tolist(), dist[1][i].tolist(), near[0][i].tolist(), near[1][i].tolist(), k, counts, enough)
                     by: dict[int, list[int]] = {}
                     for c in met:
-                        f, m = first[c // k], many[c // k]
-                        for p in range(f, f + m):
-                            by.setdefault(p, []).append(c)
-                    for p, cs in by.items():
+                        h = c // k
+                        at_part = p.first[h] + rep[i] // 7 % p.asks[h]
+                        for r in range(p.rows[h]):
+                            by.setdefault(int(at_part + r * p.asks[h]), []).append(c)
+                    for to, cs in by.items():
                         row.append(i)
-                        part.append(p)
+                        part.append(keys[to])
                         cells.append(np.array(cs, np.int32).tobytes())
-                take = pa.array(row, pa.int64())
-                n, q = b.num_rows, len(row)
-                filed = [pa.array(where), pa.array(np.zeros(n, bool)), b["rep"], b["cell"], pa.nulls(n, pa.binary()), *[b[w] for w in WORDS]]
+                take, f = pa.array(row, pa.int64()), pa.array(filed_row)
+                n, q = len(filed_row), len(row)
+                filed = [pa.array(where), pa.array(np.zeros(n, bool)), b["rep"].take(f), b["cell"].take(f), pa.nulls(n, pa.binary()), *[b[w].take(f) for w in WORDS]]
                 asked = [pa.array(part, pa.int32()), pa.array(np.ones(q, bool)), b["rep"].take(take), pa.array(np.zeros(q, np.int32)), pa.array(cells, pa.binary()), *[b[w].take(take) for w in WORDS]]
                 yield pa.RecordBatch.from_arrays(filed, schema=_ROUTED)
                 yield pa.RecordBatch.from_arrays(asked, schema=_ROUTED)
@@ -260,10 +290,12 @@ def class_neighbours(cls: DataFrame, k: int = 5, least: float = 0.6, candidates:
     at_cell = filed.groupBy("cell").count().toPandas()  # at most grid^2 rows
     counts = np.zeros(grid * grid, np.int32)
     counts[at_cell["cell"].to_numpy()] = at_cell["count"].to_numpy()
-    first, many, parts = _parts(counts, grid, codebook.centroids[0], 4 * slots(spark))
-    plan = spark.sparkContext.broadcast((counts, first, many))
+    work = _work(codebook, sample[:: max(1, len(sample) // WORK_SAMPLE)], counts, candidates)
+    layout = Plan(counts, grid, work, codebook.centroids[0], 4 * slots(spark))
+    layout.keys = np.array(partition_keys(spark, layout.parts), np.int32)
+    plan = spark.sparkContext.broadcast(layout)
     routed = filed.mapInArrow(_route(book, plan, grid, candidates), _ROUTED_SQL)
-    met = routed.repartition(parts, "part").sortWithinPartitions("part", "query", "cell").mapInArrow(_rerank(k, least), _PAIR_SQL)
+    met = routed.repartition(layout.parts, "part").sortWithinPartitions("part", "query", "cell").mapInArrow(_rerank(k, least), _PAIR_SQL)
     order = Window.partitionBy("rep").orderBy(F.desc("likeness"), "other")
     return met.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
 
