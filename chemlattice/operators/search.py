@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chemlattice.functions import bits as B
+from chemlattice.session import spread
 
 SLACK = 1e-9
 
@@ -169,7 +170,7 @@ def similar_any(table: DataFrame, queries: Sequence[Query], t: float = 0.8, comb
 def postings(table: DataFrame, fp_name: str = "Path") -> DataFrame:
     """The inverted index: ``bit, mol_id`` for each set bit."""
     every = F.expr("flatten(transform(fingerprint, (w, i) -> transform(filter(sequence(0, 63), b -> getbit(coalesce(w, 0L), b) = 1), b -> i * 64 + b)))")
-    return of_kind(table, fp_name).select("mol_id", F.explode(every).alias("bit"), "n_bits").where("bit < n_bits").select("bit", "mol_id").distinct()
+    return spread(of_kind(table, fp_name)).select("mol_id", F.explode(every).alias("bit"), "n_bits").where("bit < n_bits").select("bit", "mol_id").distinct()
 
 
 def bit_counts(table: DataFrame, fp_name: str = "Path", n_bits: int = 1024) -> DataFrame:
@@ -232,7 +233,7 @@ def _stated(queries: DataFrame, n_bits: int) -> DataFrame:
 
 def _targets(table: DataFrame, fp_name: str, n_bits: int) -> DataFrame:
     w = B.words("fingerprint", n_bits)
-    return of_kind(table, fp_name).select("mol_id", *[x.alias(f"w{i}") for i, x in enumerate(w)], B.popcount(w).alias("bits"))
+    return spread(of_kind(table, fp_name)).select("mol_id", *[x.alias(f"w{i}") for i, x in enumerate(w)], B.popcount(w).alias("bits"))
 
 
 def similar_batch(table: DataFrame, queries: DataFrame, t: float = 0.8, fp_name: str = "Path", n_bits: int = 1024, most: int = 100_000) -> DataFrame:
@@ -250,19 +251,26 @@ def similar_batch(table: DataFrame, queries: DataFrame, t: float = 0.8, fp_name:
     w, v = [F.col(f"w{i}") for i in range(k)], [F.col(f"q{i}") for i in range(k)]
     score = B.tanimoto(w, v, F.col("bits"), F.col("q_bits"))
     met = _targets(table, fp_name, n_bits).join(_checked(q, most * 100), "bits")
-    return met.select("query_id", "mol_id", score.alias("score")).where(F.col("score") >= t).distinct()
+    # The words are counted once for each pair; only pairs that share enough bits are scored.
+    enough = B.and_count(w, v) >= F.lit(t / (1 + t)) * (F.col("bits") + F.col("q_bits")) - SLACK
+    return met.where(enough & (score >= t)).select("query_id", "mol_id", score.alias("score")).distinct()
 
 
 def screen_batch(table: DataFrame, queries: DataFrame, fp_name: str = "Path", n_bits: int = 1024, most: int = 100_000) -> DataFrame:
     """``query_id, mol_id`` of the rows that contain each query's bits.
 
-    Rows and queries meet on one word of the query with bits in it: the query's first set bit is the join key, and a
-    row stands under each of its bits that is some query's first one. Queries without bits meet all rows.
+    Rows and queries meet on one bit of the query: its rarest one in the table is the join key, and a row stands under
+    each of its bits that is some query's rarest. Queries without bits meet all rows.
     """
     k = (n_bits + 63) // 64
     q = _stated(queries, n_bits)
-    first = F.expr("get(filter(sequence(0, %d), i -> getbit(array(%s)[cast(i / 64 as int)], i %% 64) = 1), 0)" % (n_bits - 1, ", ".join(f"q{i}" for i in range(k))))
-    q = q.withColumn("key", F.coalesce(first, F.lit(-1)))
+    sizes = {r["bit"]: r["count"] for r in postings(table, fp_name).groupBy("bit").count().collect()}  # at most n_bits
+    rank = {b: i for i, b in enumerate(sorted(range(n_bits), key=lambda b: (sizes.get(b, 0), b)))}
+    by_rank = {i: b for b, i in rank.items()}
+    own_bits = F.expr("filter(sequence(0, %d), i -> getbit(array(%s)[cast(i / 64 as int)], i %% 64) = 1)" % (n_bits - 1, ", ".join(f"q{i}" for i in range(k))))
+    ranks = F.array(*[F.lit(rank[b]) for b in range(n_bits)])
+    rarest = F.get(F.array(*[F.lit(by_rank[i]) for i in range(n_bits)]), F.array_min(F.transform(own_bits, lambda b: F.get(ranks, b))))
+    q = q.withColumn("key", F.coalesce(rarest, F.lit(-1)))
     keys = sorted(r["key"] for r in q.select("key").distinct().collect())  # at most n_bits + 1
     w, v = [F.col(f"w{i}") for i in range(k)], [F.col(f"q{i}") for i in range(k)]
     own = F.array_compact(F.array(*[F.lit(-1) if b < 0 else F.when(B.has_bit(w, b), F.lit(b)) for b in keys])) if keys else F.array().cast("array<int>")

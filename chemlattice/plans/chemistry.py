@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chemlattice import service
 from chemlattice.functions.fingerprints import REGISTRY
 from chemlattice.operators import search, stats, substructure
-from chemlattice.session import stage, table
+from chemlattice.session import stage, table, tasks_for
 from chemlattice.sources.molecules import graph_text_column, parse_graph_text, with_molecules
 
 PATTERN = "c1ccncc1"
@@ -17,8 +17,13 @@ SMALL = "NC=O"
 
 def _molecules(spark: SparkSession, d: str) -> DataFrame:
     """The readable molecules of the index, each record once."""
-    rows = table(spark, d, "smiles_index").select("mol_id", "smiles", "title").dropDuplicates(["mol_id"])
-    return with_molecules(rows).where("canonical is not null")
+    return _parsed(table(spark, d, "smiles_index").select("mol_id", "smiles", "title"), "mol_id")
+
+
+def _parsed(rows: DataFrame, key: str) -> DataFrame:
+    """Each record once, parsed. The partitions are stated: they are small in bytes, and parsing takes long."""
+    once = rows.repartition(tasks_for(rows.sparkSession, rows.count(), 20_000), key).dropDuplicates([key])
+    return with_molecules(once).where("canonical is not null")
 
 
 def molecules(spark, d):
@@ -49,14 +54,14 @@ def graph_counters(spark, d):
 
 def exact_structures(spark, d):
     """For each record of the batches the first and last molecule of the index with its labelled graph, however written."""
-    q = with_molecules(table(spark, d, "smiles_batches").select("rec_id", "smiles").distinct()).where("canonical is not null").select("rec_id", "canonical")
+    q = _parsed(table(spark, d, "smiles_batches").select("rec_id", "smiles"), "rec_id").select("rec_id", "canonical")
     held = _molecules(spark, d).groupBy("canonical").agg(F.min("mol_id").alias("first_mol_id"), F.max("mol_id").alias("last_mol_id"))
     return q.join(held, "canonical").select("rec_id", "first_mol_id", "last_mol_id")
 
 
 def structure_insert(spark, d):
     """Structures that the batches add to the index: the first record of each new graph."""
-    new = with_molecules(table(spark, d, "smiles_batches").select("rec_id", "smiles").distinct()).where("canonical is not null")
+    new = _parsed(table(spark, d, "smiles_batches").select("rec_id", "smiles"), "rec_id")
     first = new.groupBy("canonical").agg(F.min("rec_id").alias("rec_id"))
     return first.join(_molecules(spark, d).select("canonical"), "canonical", "left_anti").select("rec_id")
 
@@ -74,7 +79,7 @@ def substructure_first(spark, d):
 
 
 def substructure_joins(spark, d):
-    return substructure.match_relational(substructure.bond_table(_molecules(spark, d)), SMALL)
+    return substructure.match_relational(stage(substructure.bond_table(_molecules(spark, d)), "bonds"), SMALL)
 
 
 def substructure_batch(spark, d):

@@ -46,9 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or path
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives lost executors."""
+def stage(df: DataFrame, name: str = "stage", parts: int | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives lost executors.
+
+    ``parts`` files at least let as many tasks read it, where the work on a row outweighs its bytes.
+    """
     spark = df.sparkSession
+    if parts:
+        df = df.repartition(parts)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -59,6 +64,20 @@ def slots(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
+def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Tasks for steps of which the cost follows the rows rather than their bytes: two a slot, more for many rows."""
+    return max(2 * slots(spark), -(-rows // each))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over at least as many partitions as there are slots, for steps that work long on each row.
+
+    Only a table of a few files or row groups is dealt out anew; a large one has more splits than slots and stays as it is.
+    """
+    want = slots(scan.sparkSession)
+    return scan.repartition(want) if scan.rdd.getNumPartitions() < want else scan
+
+
 def partition_keys(spark: SparkSession, n: int) -> list[int]:
     """A number for each of n partitions that ``repartition(n, key)`` sends to a partition of its own."""
     found: dict[int, int] = {}

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chemlattice.functions.smiles import is_readable, key_of
+from chemlattice.session import spread
 
 FIELDS = ["mol_id", "smiles", "title", "mol_weight", "registered_on"]
 REASONS = ["quoting", "columns", *(f for f in FIELDS if f != "title")]
@@ -147,7 +148,7 @@ def split_batch(line_id: pa.Array, raw: pa.Array) -> pa.RecordBatch:
 def split_lines(lines: DataFrame, id_col: str = "line_id", raw_col: str = "raw") -> DataFrame:
     """``line_id, reason`` and the five typed columns; ``reason`` is NULL for a loaded record.
 
-    A narrow step: no shuffle. Lines delivered twice are not removed here.
+    A narrow step: no shuffle, but for a table of fewer splits than slots. Lines delivered twice are not removed here.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +156,7 @@ def split_lines(lines: DataFrame, id_col: str = "line_id", raw_col: str = "raw")
             if b.num_rows:
                 yield split_batch(b.column(0), b.column(1))
 
-    return lines.select(F.col(id_col).cast("long").alias("line_id"), F.col(raw_col).cast("string").alias("raw")).mapInArrow(each, _OUT)
+    return spread(lines).select(F.col(id_col).cast("long").alias("line_id"), F.col(raw_col).cast("string").alias("raw")).mapInArrow(each, _OUT)
 
 
 def rejected(lines: DataFrame, **cols: str) -> DataFrame:
