@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chemlattice.functions.canon import mix
+from chemlattice.session import spread
 
 WORDS = 13
 SHARD_BYTES = 3_000_000
@@ -200,7 +201,7 @@ def _blocks(items: DataFrame, words: int) -> Iterator[Items]:
 def spans(docs: DataFrame, items: DataFrame, words: int = WORDS) -> DataFrame:
     """All longest verbatim matches of at least ``words`` words, with their places in the document (in bytes)."""
     spark = docs.sparkSession
-    rows = docs.where("text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = spread(docs.where("text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     out = None
     for block in _blocks(items, words):
         part = rows.mapInArrow(_in_task(spark.sparkContext.broadcast(block)), _SPAN_SQL)

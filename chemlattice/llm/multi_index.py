@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chemlattice.llm.fingerprints import N_BITS, WORDS, classes, matrix, members, unpack, valid
-from chemlattice.session import partition_keys, slots, stage
+from chemlattice.session import partition_keys, slots, stage, tasks_for
 
 SAMPLE = 20_000
 CANDIDATES = 1500
@@ -286,7 +286,7 @@ def class_neighbours(cls: DataFrame, k: int = 5, least: float = 0.6, candidates:
     grid = min(grid, max(1, len(sample)))
     codebook = Codebook(sample, grid)
     book = spark.sparkContext.broadcast(codebook)
-    filed = stage(cls.select("rep", *WORDS).mapInArrow(_file(book, grid), "rep long, cell int, " + ", ".join(f"{w} long" for w in WORDS)), "cells")
+    filed = stage(cls.select("rep", *WORDS).mapInArrow(_file(book, grid), "rep long, cell int, " + ", ".join(f"{w} long" for w in WORDS)), "cells")  # as many files as it has tasks
     at_cell = filed.groupBy("cell").count().toPandas()  # at most grid^2 rows
     counts = np.zeros(grid * grid, np.int32)
     counts[at_cell["cell"].to_numpy()] = at_cell["count"].to_numpy()
@@ -307,7 +307,7 @@ def neighbour_pairs(table: DataFrame, k: int = 5, least: float = 0.6, candidates
     """
     rows = valid(table)
     mem = stage(members(rows), "members")
-    cls = stage(classes(rows), "classes")
+    cls = stage(classes(rows), "classes", tasks_for(table.sparkSession, table.count(), 50_000))
     alike = class_neighbours(cls, k, least, candidates)
     return _expand(mem, cls, alike, k)
 
@@ -382,7 +382,7 @@ def exact_class_neighbours(cls: DataFrame, asked: DataFrame, k: int, least: floa
 def recall(table: DataFrame, k: int = 5, least: float = 0.6, every: int = 20) -> DataFrame:
     """One row: true neighbours of the classes whose id is divisible by ``every``, those found, and the share lost."""
     rows = valid(table)
-    cls = stage(classes(rows), "classes")
+    cls = stage(classes(rows), "classes", tasks_for(table.sparkSession, table.count(), 50_000))
     got = class_neighbours(cls, k, least).select("rep", "other", F.lit(1).alias("got"))
     truth = exact_class_neighbours(cls, cls.where(F.col("rep") % every == 0), k, least)
     j = truth.join(got, ["rep", "other"], "left")

@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chemlattice.session import slots, spread, stage
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's byte-level BPE cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -65,7 +67,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             n = np.fromiter((len(enc.encode_ordinary(t.as_py())) for t in b["text"]), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n)], names=["doc_id", "n_tokens"])
 
-    rows = docs.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = spread(docs.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return rows.mapInArrow(each, "doc_id long, n_tokens long").where("n_tokens > 0")
 
 
@@ -148,8 +150,6 @@ def pack(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, weig
 
     ``unused_tokens`` is the room left in the piece's container. ``targets`` is a table of fixed size.
     """
-    from chemlattice.session import stage
-
     if rule not in ("norm", "dot"):
         raise ValueError("rule is norm or dot")
     counts = stage(token_counts(docs, vocabulary), "tokens")
@@ -161,7 +161,8 @@ def pack(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, weig
     todo = items.where("shard is not null")
     for r in range(ROUNDS):
         last = r == ROUNDS - 1 or shards == 1
-        placed = todo.groupBy("target_id", "shard").applyInPandas(_pack(last, r, weights, rule), _PLACED)
+        # Stated partitions: items are a few bytes each, and would else be packed in a single task.
+        placed = todo.repartition(max(2 * slots(docs.sparkSession), shards), "target_id", "shard").groupBy("target_id", "shard").applyInPandas(_pack(last, r, weights, rule), _PLACED)
         if not last:
             placed = stage(placed, "placed")
         out = out.unionByName(placed.where("container_id >= 0").select(*columns))

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from chemlattice.llm import residue_exemplars as X
 from chemlattice.llm.leaks import texts_of, words_of
+from chemlattice.session import spread
 
 CONTAINED = 0.7  # share of an exemplar that a window must hold
 COVERED = 0.5  # share of a document that such windows must cover
@@ -295,7 +296,7 @@ def frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict[str, int
                 total[-1] += hi - lo
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "n"])
 
-    rows = docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(text).cast("string").alias("text")).mapInArrow(each, "at int, n long")
+    rows = spread(docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(text).cast("string").alias("text"))).mapInArrow(each, "at int, n long")
     n = {r["at"]: r["n"] for r in rows.groupBy("at").agg(F.sum("n").alias("n")).collect()}  # one row for each exemplar word
     return n.get(len(vocabulary), 0), {names[j]: n.get(k, 0) for k, j in enumerate(order)}
 
@@ -345,7 +346,7 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_OUT)
 
-    rows = docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = spread(docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
     return rows.mapInArrow(each, "doc_id long, kind string, share double")
 
 

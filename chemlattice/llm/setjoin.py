@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chemlattice.llm.fingerprints import N_BITS, N_WORDS, WORDS, classes, matrix, members, unpack, valid
-from chemlattice.session import slots, stage
+from chemlattice.session import slots, stage, tasks_for
 
 LARGE = 160
 DEPTH = 6
@@ -286,7 +286,7 @@ def similar_pairs(table: DataFrame, t: float = 0.8) -> DataFrame:
     """``mol_id_a, mol_id_b`` with a < b: all pairs of molecules whose sets have likeness of at least t."""
     rows = valid(table)
     mem = stage(members(rows), "members")
-    cls = stage(classes(rows), "classes")
+    cls = stage(classes(rows), "classes", tasks_for(table.sparkSession, table.count(), 50_000))
     return expand(mem, cls, class_pairs(cls, t))
 
 
@@ -297,7 +297,7 @@ def linked_rows(table: DataFrame, t: float = 0.8) -> DataFrame:
     """
     rows = valid(table)
     mem = stage(members(rows), "members")
-    cls = stage(classes(rows), "classes")
+    cls = stage(classes(rows), "classes", tasks_for(table.sparkSession, table.count(), 50_000))
     named = mem.join(cls.select("h1", "h2", "rep"), ["h1", "h2"]).select("mol_id", "rep")
     size = named.groupBy("rep").agg(F.count("*").alias("n"))
     pairs = class_pairs(cls, t).select("rep_a", "rep_b")

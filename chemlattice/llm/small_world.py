@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from chemlattice.functions import canon
 from chemlattice.functions.smiles import main_component, parse
-from chemlattice.session import slots, stage
+from chemlattice.session import slots, stage, tasks_for
 
 DIMENSIONS = 32
 NEIGHBOURS = 12
@@ -306,7 +306,7 @@ def molecules(rows: DataFrame, id_col: str, text_col: str, batch: F.Column, rout
 
     keyed = rows.select(F.col(id_col).cast("long").alias("id"), key_column(text_col).alias("text"), batch.cast("int").alias("batch")).where("id is not null and text is not null and text <> ''")
     once = keyed.groupBy("text", "batch").agg(F.min("id").alias("id"))
-    return once.select("batch", "id", "text").mapInArrow(each, _MOLECULES)
+    return once.select("batch", "id", "text").repartition(tasks_for(rows.sparkSession, rows.count(), 20_000)).mapInArrow(each, _MOLECULES)
 
 
 def _nodes(g: pd.DataFrame) -> Shard:
@@ -326,13 +326,13 @@ def build(history: DataFrame, routes: int, id_col: str = "mol_id", text_col: str
         return pd.DataFrame([{"route": key[0], "segment": 0, "n_molecules": len(g)} | _nodes(g).packed()])
 
     mols = molecules(history, id_col, text_col, F.lit(0), routes)
-    return _distinct(mols).groupBy("route").applyInPandas(each, _SHARD_SQL)
+    return _distinct(mols).repartition(routes, "route").groupBy("route").applyInPandas(each, _SHARD_SQL)
 
 
 _FOUND_SQL = "first_id long, batch int, c1 long, c2 long, id long"
 
 
-def absorb(shards: DataFrame, batches: DataFrame, keep_shards: bool = False) -> DataFrame:
+def absorb(shards: DataFrame, batches: DataFrame, keep_shards: bool = False, routes: int | None = None) -> DataFrame:
     """Looks up the molecules of batches, in the order of their numbers, in all shards and in one another.
 
     ``batches`` is what ``_distinct(molecules(...))`` gives. Each batch becomes a new shard of its routes before the
@@ -367,6 +367,8 @@ def absorb(shards: DataFrame, batches: DataFrame, keep_shards: bool = False) ->
             return pd.DataFrame([{"route": key[0], "segment": b, "n_molecules": len(s.first)} | s.packed() for b, s in made], columns=[c.split()[0] for c in _SHARD_SQL.split(", ")])
         return pd.concat(out) if out else pd.DataFrame(columns=["first_id", "batch", "c1", "c2", "id"])
 
+    if routes:  # stated partitions: shards and batches of a route meet, and no task gets many routes because they are small
+        shards, batches = shards.repartition(routes, "route"), batches.repartition(routes, "route")
     return shards.groupBy("route").cogroup(batches.groupBy("route")).applyInPandas(each, _SHARD_SQL if keep_shards else _FOUND_SQL)
 
 
@@ -376,7 +378,7 @@ def repeats(history: DataFrame, batches: DataFrame, id_col: str = "mol_id", rec_
     routes = max(4 * slots(spark), math.ceil((history.count() + batches.count()) / ROUTE_ROWS))
     shards = stage(build(history, routes, id_col, text_col), "shards")
     mols = stage(molecules(batches, rec_col, text_col, F.col(batch_col), routes), "batches")
-    found = absorb(shards, _distinct(mols)).select("first_id", "batch", "c1", "c2")
+    found = absorb(shards, _distinct(mols), routes=routes).select("first_id", "batch", "c1", "c2")
     by_text = mols.select("batch", "text", "c1", "c2").join(found, ["batch", "c1", "c2"]).select("batch", "text", "first_id")
     rows = batches.select(F.col(rec_col).cast("long").alias("rec_id"), key_column(text_col).alias("text"), F.col(batch_col).cast("int").alias("batch"))
     return rows.join(by_text, ["batch", "text"]).where("first_id < rec_id").select("first_id", "rec_id").distinct()
