@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import hashlib
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 from chemlattice.functions.bits import host_words
 from chemlattice.functions.graphs import Graph, Pattern, adjacency, graph_of
@@ -96,12 +96,14 @@ PATTERNS = [
 ]
 
 
-@lru_cache(maxsize=1)
-def _patterns() -> list[tuple[Pattern, int, int]]:
+@lru_cache(maxsize=16)
+def _compiled(patterns: tuple[tuple[str, int], ...]) -> list[tuple[Pattern, int]]:
     out = []
-    for smiles, count in PATTERNS:
+    for smiles, count in patterns:
         g = graph_of(smiles)
-        out.append((Pattern(g), count, len(g[0])))
+        if g is None:
+            raise ValueError(f"not a readable pattern: {smiles!r}")
+        out.append((Pattern(g), count))
     return out
 
 
@@ -115,8 +117,8 @@ def _occurrences(p: Pattern, g: Graph, enough: int) -> int:
     return len(seen)
 
 
-def pattern_bits(g: Graph, n_bits: int = 0) -> set[int]:
-    return {i for i, (p, count, _) in enumerate(_patterns()) if _occurrences(p, g, count + 1) > count}
+def pattern_bits(g: Graph, n_bits: int = 0, patterns: tuple[tuple[str, int], ...] = tuple(PATTERNS)) -> set[int]:
+    return {i for i, (p, count) in enumerate(_compiled(patterns)) if _occurrences(p, g, count + 1) > count}
 
 
 @dataclass(frozen=True)
@@ -135,6 +137,13 @@ def register_fingerprint(name: str, bits: Callable[[Graph, int], set[int]], n_bi
     REGISTRY[name] = Kind(name, bits, n_bits, screen_safe)
 
 
+def register_patterns(name: str, patterns: Iterable[tuple[str, int]]) -> None:
+    """Adds a pattern fingerprint from a dictionary of SMILES and counts; bit i is set where pattern i occurs more often."""
+    held = tuple((str(s), int(c)) for s, c in patterns)
+    _compiled(held)
+    register_fingerprint(name, partial(pattern_bits, patterns=held), len(held), True)
+
+
 register_fingerprint("GraphPath", path_bits, 1024, True)
 register_fingerprint("Pattern", pattern_bits, len(PATTERNS), True)
 register_fingerprint("AtomPair", atom_pair_bits, 1024)

@@ -13,9 +13,11 @@ skip: see ``STRATEGIES``.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -219,16 +221,9 @@ def screen_postings(table: DataFrame, index: DataFrame, q: Query, probe: int = 8
 # Many queries at once
 
 
-def _checked(queries: DataFrame, most: int) -> DataFrame:
-    n = queries.count()
-    if n > most:
-        raise ValueError(f"{n} queries; at most {most} are sent to all tasks, search in several runs")
-    return F.broadcast(queries)
-
-
 def _stated(queries: DataFrame, n_bits: int) -> DataFrame:
     w = B.words("fingerprint", n_bits)
-    return queries.select("query_id", *[x.alias(f"q{i}") for i, x in enumerate(w)], B.popcount(w).alias("q_bits")).distinct()
+    return queries.where("query_id is not null").select("query_id", *[x.alias(f"q{i}") for i, x in enumerate(w)], B.popcount(w).alias("q_bits")).distinct()
 
 
 def _targets(table: DataFrame, fp_name: str, n_bits: int) -> DataFrame:
@@ -236,46 +231,84 @@ def _targets(table: DataFrame, fp_name: str, n_bits: int) -> DataFrame:
     return spread(of_kind(table, fp_name)).select("mol_id", *[x.alias(f"w{i}") for i, x in enumerate(w)], B.popcount(w).alias("bits"))
 
 
+FEW = 64  # queries up to which a join by sizes serves
+_ROWS, _QUERIES = 2000, 2048  # rows and queries of one matrix product
+
+
+def _products(table: DataFrame, queries: DataFrame, fp_name: str, n_bits: int, most: int, test: Callable, with_score: bool) -> DataFrame:
+    """Meets all rows with blocks of a stated set of queries, of checked number, by products of bit matrices.
+
+    ``test(both, rows' sizes, queries' sizes)`` marks the hits of a block. The table isn't shuffled.
+    """
+    k = (n_bits + 63) // 64
+    rows = _stated(queries, n_bits).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} queries; search in several runs")
+    spark = table.sparkSession
+    kind = dict(queries.dtypes)["query_id"]
+    schema = "query_id long, mol_id long" + (", score double" if with_score else "")
+    names = ["query_id", "mol_id", *(["score"] if with_score else [])]
+    ids = np.array([r["query_id"] for r in rows], np.int64)
+    words = np.array([[r[f"q{i}"] for i in range(k)] for r in rows], np.int64).reshape(len(rows), k)
+    held = spark.sparkContext.broadcast((ids, words))
+
+    def bits(w: np.ndarray) -> np.ndarray:
+        return np.unpackbits(np.ascontiguousarray(w).view(np.uint8).reshape(len(w), -1), axis=1, bitorder="little").astype(np.float32)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, words = held.value
+        sizes = np.bitwise_count(words.view(np.uint64)).sum(axis=1).astype(np.float64)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(lo, _ROWS)
+                own = np.stack([b[f"w{i}"].to_numpy() for i in range(k)], axis=1)
+                own_size = np.bitwise_count(own.view(np.uint64)).sum(axis=1).astype(np.float64)
+                own_bits, mol = bits(own), b["mol_id"].to_numpy()
+                for at in range(0, len(ids), _QUERIES):
+                    n = sizes[at : at + _QUERIES]
+                    both = own_bits @ bits(words[at : at + _QUERIES]).T  # whole numbers below 2^24: exact
+                    r, c = np.nonzero(test(both, own_size, n))
+                    columns = [pa.array(ids[at + c]), pa.array(mol[r])]
+                    if with_score:
+                        x = both[r, c].astype(np.float64)
+                        columns.append(pa.array(x / (own_size[r] + n[c] - x)))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    hits = _targets(table, fp_name, n_bits).mapInArrow(each, schema)
+    return hits.withColumn("query_id", F.col("query_id").cast(kind)) if kind != "bigint" else hits
+
+
 def similar_batch(table: DataFrame, queries: DataFrame, t: float = 0.8, fp_name: str = "Path", n_bits: int = 1024, most: int = 100_000) -> DataFrame:
-    """``query_id, mol_id, score`` for a set of queries ``(query_id, fingerprint)``.
+    """``query_id, mol_id, score`` for a set of queries ``(query_id, fingerprint)`` with whole numbers as ids.
 
-    Queries and rows meet on the sizes that can reach t: each query stands in the list of each size of its band, an
-    equi-join on the bit count that needs no shuffle of the table, as the queries' number is checked and they are sent
-    to all tasks.
+    A few queries meet the rows by a join on the sizes that can reach t, each query standing under each size of its
+    band; many meet them in blocks (``_products``). Neither shuffles the table.
     """
     if not t > 0:
         raise ValueError("the threshold is above 0")
+    q = _stated(queries, n_bits).where("q_bits > 0")
+    if q.limit(FEW + 1).count() > FEW:
+
+        def test(both: np.ndarray, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+            return (both >= (t / (1 + t)) * (rows[:, None] + n[None]) - 1e-3) & (n[None] > 0)
+
+        return _products(table, queries, fp_name, n_bits, most, test, True).where(F.col("score") >= t).distinct()
     k = (n_bits + 63) // 64
     lo, hi = F.ceil(F.col("q_bits") * t - SLACK).cast("int"), F.least(F.floor(F.col("q_bits") / t + SLACK), F.lit(n_bits)).cast("int")
-    q = _stated(queries, n_bits).where("q_bits > 0").withColumn("bits", F.explode(F.sequence(lo, hi)))
+    q = q.withColumn("bits", F.explode(F.sequence(lo, hi)))
     w, v = [F.col(f"w{i}") for i in range(k)], [F.col(f"q{i}") for i in range(k)]
     score = B.tanimoto(w, v, F.col("bits"), F.col("q_bits"))
-    met = _targets(table, fp_name, n_bits).join(_checked(q, most * 100), "bits")
-    # The words are counted once for each pair; only pairs that share enough bits are scored.
-    enough = B.and_count(w, v) >= F.lit(t / (1 + t)) * (F.col("bits") + F.col("q_bits")) - SLACK
-    return met.where(enough & (score >= t)).select("query_id", "mol_id", score.alias("score")).distinct()
+    met = _targets(table, fp_name, n_bits).join(F.broadcast(q), "bits")  # at most FEW queries
+    return met.select("query_id", "mol_id", score.alias("score")).where(F.col("score") >= t).distinct()
 
 
 def screen_batch(table: DataFrame, queries: DataFrame, fp_name: str = "Path", n_bits: int = 1024, most: int = 100_000) -> DataFrame:
-    """``query_id, mol_id`` of the rows that contain each query's bits.
+    """``query_id, mol_id`` of the rows that contain each query's bits; queries without bits meet all rows."""
 
-    Rows and queries meet on one bit of the query: its rarest one in the table is the join key, and a row stands under
-    each of its bits that is some query's rarest. Queries without bits meet all rows.
-    """
-    k = (n_bits + 63) // 64
-    q = _stated(queries, n_bits)
-    sizes = {r["bit"]: r["count"] for r in postings(table, fp_name).groupBy("bit").count().collect()}  # at most n_bits
-    rank = {b: i for i, b in enumerate(sorted(range(n_bits), key=lambda b: (sizes.get(b, 0), b)))}
-    by_rank = {i: b for b, i in rank.items()}
-    own_bits = F.expr("filter(sequence(0, %d), i -> getbit(array(%s)[cast(i / 64 as int)], i %% 64) = 1)" % (n_bits - 1, ", ".join(f"q{i}" for i in range(k))))
-    ranks = F.array(*[F.lit(rank[b]) for b in range(n_bits)])
-    rarest = F.get(F.array(*[F.lit(by_rank[i]) for i in range(n_bits)]), F.array_min(F.transform(own_bits, lambda b: F.get(ranks, b))))
-    q = q.withColumn("key", F.coalesce(rarest, F.lit(-1)))
-    keys = sorted(r["key"] for r in q.select("key").distinct().collect())  # at most n_bits + 1
-    w, v = [F.col(f"w{i}") for i in range(k)], [F.col(f"q{i}") for i in range(k)]
-    own = F.array_compact(F.array(*[F.lit(-1) if b < 0 else F.when(B.has_bit(w, b), F.lit(b)) for b in keys])) if keys else F.array().cast("array<int>")
-    rows = _targets(table, fp_name, n_bits).withColumn("key", F.explode(own))
-    return rows.join(_checked(q, most), "key").where((F.col("bits") >= F.col("q_bits")) & B.contains(w, v)).select("query_id", "mol_id").distinct()
+    def test(both: np.ndarray, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return both == n[None]
+
+    return _products(table, queries, fp_name, n_bits, most, test, False).distinct()
 
 
 def screen_efficiency(screened: DataFrame, verified: DataFrame, by: str = "query_id") -> DataFrame:

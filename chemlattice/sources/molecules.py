@@ -173,6 +173,11 @@ def parse_graph_text(df: DataFrame, column: str = "graph_text") -> DataFrame:
     return df.mapInArrow(each, schema)
 
 
+def edges_by_length() -> F.Column:
+    """The column ``edges``, longest paths first; ties by source, then target."""
+    return F.expr("array_sort(edges, (x, y) -> CASE WHEN size(x.path) <> size(y.path) THEN size(y.path) - size(x.path) WHEN x.source <> y.source THEN x.source - y.source ELSE x.target - y.target END)")
+
+
 def graph_text_column() -> F.Column:
     """Graph text of columns ``labels`` and ``edges``, by expressions alone."""
     v = F.array_join(F.transform("labels", lambda x: F.format_string("{%d}", x)), ",")

@@ -34,6 +34,18 @@ def new_keys(rows: DataFrame, known: DataFrame, order: str, text: str = "smiles"
     return first_of_keys(rows, order, text).select("key", order).join(held, "key", "left_anti")
 
 
+def first_in_time(stream: DataFrame, time: str, delay: str = "1 day", text: str = "smiles") -> DataFrame:
+    """Each key once within the watermark: state is dropped when it is older than ``delay``, so it stays bounded."""
+    keyed = stream.withColumn("key", key_column(text)).where(F.col("key").isNotNull())
+    return keyed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["key"])
+
+
+def arrivals(stream: DataFrame, time: str, every: str = "1 hour", delay: str = "1 hour", text: str = "smiles") -> DataFrame:
+    """Records and different keys (approximately) in each span of time, with late records up to ``delay``."""
+    keyed = stream.withColumn("key", key_column(text)).withWatermark(time, delay)
+    return keyed.groupBy(F.window(time, every)).agg(F.count("*").alias("n_records"), F.approx_count_distinct("key").alias("n_keys")).select(F.col("window.start").alias("start"), "n_records", "n_keys")
+
+
 def ingest_stream(stream: DataFrame, known: DataFrame, target: str, checkpoint: str, order: str = "rec_id"):
     """Runs a stream of records to its present end and keeps each new key once, under ``target``.
 
