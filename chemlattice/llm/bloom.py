@@ -16,7 +16,7 @@ Keys are never kept: a chain holds some 35 bits a key at an error rate of
 1e-6 and works from two 64-bit hashes.
 
 Defined results: NULL keys and empty keys are never "seen" and are not
-remembered; a record delivered several times under one id counts once; ties
+remembered; nor are records without id; a record delivered several times under one id counts once; ties
 in order do not occur, because the id is the order; keys are compared as
 bytes; empty tables give empty results.
 """
@@ -154,7 +154,7 @@ def key_column(c: Column | str) -> Column:
 
 
 def hashes(df: DataFrame, kind: int, order: Column, key: Column) -> DataFrame:
-    return df.select(F.lit(kind).alias("kind"), order.cast("long").alias("at"), key.alias("k")).where("k is not null").select(
+    return df.select(F.lit(kind).alias("kind"), order.cast("long").alias("at"), key.alias("k")).where("k is not null and at is not null").select(
         "kind", "at", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k").alias("h2")
     )
 

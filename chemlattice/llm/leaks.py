@@ -14,7 +14,7 @@ matches.
 The items are sent to all tasks. Their set is of fixed size; should it exceed
 ``ITEM_WORDS`` words, it is searched in blocks of that size.
 
-Defined results: NULL or empty texts and items hold nothing; items shorter than
+Defined results: NULL or empty texts and items, and those without id, hold nothing; items shorter than
 ``words`` words cannot match; equal texts each match under their own id; a
 passage does not run across the ends of a document; other columns are
 ignored; empty tables give empty results.
@@ -201,7 +201,7 @@ def _blocks(items: DataFrame, words: int) -> Iterator[Items]:
 def spans(docs: DataFrame, items: DataFrame, words: int = WORDS) -> DataFrame:
     """All longest verbatim matches of at least ``words`` words, with their places in the document (in bytes)."""
     spark = docs.sparkSession
-    rows = spread(docs.where("text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    rows = spread(docs.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     out = None
     for block in _blocks(items, words):
         part = rows.mapInArrow(_in_task(spark.sparkContext.broadcast(block)), _SPAN_SQL)

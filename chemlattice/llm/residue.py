@@ -19,7 +19,7 @@ Words that differ from copy to copy (hosts, paths, numbers, compound names)
 weigh nothing. Both passes are narrow: only the counts of exemplar words,
 whose number is fixed, are shuffled, and only those are sent to the driver.
 
-Defined results: NULL and empty texts, and texts without words, are no case;
+Defined results: NULL and empty texts, texts without words and rows without id are no case;
 equal texts get equal results; texts are judged whole at any length; other
 columns are ignored; an empty table gives an empty result.
 """
@@ -346,7 +346,7 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_OUT)
 
-    rows = spread(docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    rows = spread(docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
     return rows.mapInArrow(each, "doc_id long, kind string, share double")
 
 

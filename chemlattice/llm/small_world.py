@@ -23,7 +23,8 @@ molecule that makes up a third of all rows is one node.
 
 Defined results: NULL, empty and unreadable texts hold no molecule and never
 match; a molecule without atoms other than hydrogen holds none either; rows
-delivered twice count once; the first id is the smallest; empty tables give
+delivered twice count once; rows without id are left out, those without a
+batch number belong to the last batch; the first id is the smallest; empty tables give
 empty results; other columns are ignored.
 """
 
@@ -282,6 +283,11 @@ _MOLECULES = "route int, batch int, id long, text string, c1 long, c2 long, hash
 _SHARD_SQL = "route int, segment int, n_molecules long, first binary, certificate binary, hashed binary, text array<string>, node binary, vectors binary, links binary, beam int"
 
 
+def _batch(c: str) -> F.Column:
+    """Batch number; rows without one come last."""
+    return F.coalesce(F.col(c).cast("int"), F.lit(2**31 - 1))
+
+
 def key_column(c: str) -> F.Column:
     return F.substring_index(F.substring_index(F.col(c).cast("string"), " ", 1), "\t", 1)
 
@@ -377,8 +383,8 @@ def repeats(history: DataFrame, batches: DataFrame, id_col: str = "mol_id", rec_
     spark = history.sparkSession
     routes = max(4 * slots(spark), math.ceil((history.count() + batches.count()) / ROUTE_ROWS))
     shards = stage(build(history, routes, id_col, text_col), "shards")
-    mols = stage(molecules(batches, rec_col, text_col, F.col(batch_col), routes), "batches")
+    mols = stage(molecules(batches, rec_col, text_col, _batch(batch_col), routes), "batches")
     found = absorb(shards, _distinct(mols), routes=routes).select("first_id", "batch", "c1", "c2")
     by_text = mols.select("batch", "text", "c1", "c2").join(found, ["batch", "c1", "c2"]).select("batch", "text", "first_id")
-    rows = batches.select(F.col(rec_col).cast("long").alias("rec_id"), key_column(text_col).alias("text"), F.col(batch_col).cast("int").alias("batch"))
+    rows = batches.select(F.col(rec_col).cast("long").alias("rec_id"), key_column(text_col).alias("text"), _batch(batch_col).alias("batch"))
     return rows.join(by_text, ["batch", "text"]).where("first_id < rec_id").select("first_id", "rec_id").distinct()

@@ -32,7 +32,7 @@ def test_chain_with_hashes_of_one_remainder():
 
 
 def test_order_repeats_nulls_and_second_deliveries(spark):
-    rows = [(1, "C x"), (2, "C"), (3, None), (4, ""), (5, "N\tlabel"), (6, "c"), (6, "c"), (7, "N"), (9, "O"), (8, "O")]
+    rows = [(1, "C x"), (2, "C"), (3, None), (4, ""), (5, "N\tlabel"), (6, "c"), (6, "c"), (7, "N"), (9, "O"), (8, "O"), (None, "O"), (None, "O")]
     lookups = spark.createDataFrame(rows, "lookup_id long, smiles string").repartition(3)
     history = spark.createDataFrame([("N", 1), (None, 1), ("N", 2)], "smiles string, lookup_id int")
     got = sorted(r[0] for r in bloom.seen_before(lookups, history).collect())

@@ -39,14 +39,14 @@ def test_leaks_against_brute_force(spark, n, monkeypatch):
             s = rng.randint(0, max(0, len(w) - 13))
             t += " .. " + " ; ".join(x.upper() for x in w[s : s + rng.randint(5, 20)]) + " " + text(3)
         docs.append((d, t))
-    docs += [(100, None), (101, ""), (102, docs[0][1]), (103, "é" * 5000 + docs[3][1]), (104, "…")]
+    docs += [(100, None), (101, ""), (102, docs[0][1]), (103, "é" * 5000 + docs[3][1]), (104, "…"), (None, docs[3][1])]
     df = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, item_id int").repartition(3)
     q = spark.createDataFrame(items, "item_id int, text string")
     want = _brute(docs, items, n)
     assert {tuple(r) for r in leaks.leaked(df, q, n).collect()} == want
     monkeypatch.setattr(leaks, "ITEM_WORDS", 30)
     assert {tuple(r) for r in leaks.leaked(df, q, n).collect()} == want
-    assert {r["doc_id"] for r in leaks.clean(df, q, n).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    assert {r["doc_id"] for r in leaks.clean(df, q, n).collect()} == {d for d, _ in docs} - {d for d, _ in want}  # a row without id stays
     by = dict(docs)
     for r in leaks.spans(df, q, n).collect():
         found = [w.lower() for w in WORD.findall(by[r["doc_id"]].encode()[r["first_byte"] : r["end_byte"]].decode())]
@@ -150,9 +150,10 @@ def test_residue(spark):
     texts = RESIDUE + REAL
     filler = [CODE.format(i) + f"value_{i} = compute(other)\n" for i in range(60)]  # so that counts of documents mean something
     rows = [(i, t, "x") for i, t in enumerate(texts + filler + [RESIDUE[0]])]
+    rows = [*rows[:-1], (None, RESIDUE[0], "x"), rows[-1]]
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string").repartition(3)
     got = {r["doc_id"] for r in residue.classify(df).collect()}
-    assert got == {*range(len(RESIDUE)), len(rows) - 1}, [texts[i] for i in got ^ set(range(len(RESIDUE))) if i < len(texts)]
+    assert got == {*range(len(RESIDUE)), len(rows) - 2}, [texts[i] for i in got ^ set(range(len(RESIDUE))) if i < len(texts)]
     assert residue.clean(df).count() == len(rows) - len(got)
     assert residue.classify(df.limit(0)).count() == 0
 
