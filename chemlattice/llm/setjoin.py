@@ -41,7 +41,7 @@ from chemlattice.session import slots, stage, tasks_for
 
 LARGE = 160
 DEPTH = 6
-SHORT = 24
+SHORT = 128
 LIST_ROWS = 50_000
 BLOCK = 100_000
 
