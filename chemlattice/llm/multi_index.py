@@ -7,7 +7,8 @@ pair of its nearest centroids, a cell of a K x K grid.
 
 A query visits cells in order of the summed distances of the two halves,
 which a heap yields without sorting the grid, until the cells it has met
-hold ``CANDIDATES`` fingerprints. These are reranked by exact likeness. A pair met from
+hold ``CANDIDATES`` fingerprints and are ``LEAST_CELLS``, so that denser data do
+not narrow the search. These are reranked by exact likeness. A pair met from
 either side counts for both.
 
 Work is split by cells: ranges of first-half centroids form parts of about
@@ -42,6 +43,7 @@ from chemlattice.session import partition_keys, slots, stage, tasks_for
 
 SAMPLE = 20_000
 CANDIDATES = 1500
+LEAST_CELLS = 24  # filled cells that a query visits at least, however full they are
 MAX_K = 1024
 PART_ROWS = 100_000
 ROUNDS = 6
@@ -82,10 +84,10 @@ class Codebook:
 
 
 def traverse(d0: list[float], d1: list[float], r0: list[int], r1: list[int], k: int, counts: np.ndarray, enough: int) -> list[int]:
-    """Filled cells in order of summed distance until they hold ``enough``; d0 and d1 are sorted."""
+    """Filled cells in order of summed distance until they are ``LEAST_CELLS`` and hold ``enough``; d0 and d1 are sorted."""
     heap, out, held = [(d0[0] + d1[0], 0, 0)], [], 0
     n0, n1 = len(d0), len(d1)
-    while heap and held < enough:
+    while heap and (held < enough or len(out) < LEAST_CELLS):
         _, i, j = heapq.heappop(heap)
         cell = r0[i] * k + r1[j]
         c = counts[cell]

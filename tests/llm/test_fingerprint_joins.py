@@ -95,7 +95,8 @@ def test_recall_and_exact_search(spark):
     assert r["n_true"] > 1000 and 0 <= r["share_lost"] < 0.05
 
 
-def test_heap_order():
+def test_heap_order(monkeypatch):
+    monkeypatch.setattr(multi_index, "LEAST_CELLS", 1)
     counts = np.ones(16, np.int32)
     cells = multi_index.traverse([0.0, 1.0, 2.5, 9.0], [0.0, 2.0, 3.0, 4.0], [0, 1, 2, 3], [0, 1, 2, 3], 4, counts, 16)
     sums = [[0.0, 1.0, 2.5, 9.0][c // 4] + [0.0, 2.0, 3.0, 4.0][c % 4] for c in cells]
