@@ -56,7 +56,7 @@ def p7_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.clean(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "n_chars", "repo", "file_path")
+    return leaks.clean(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "repo", "file_path")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +68,7 @@ def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_clean(spark: SparkSession, d: str) -> DataFrame:
-    return residue.clean(table(spark, d, "documents")).select("doc_id", "n_chars", "repo", "file_path")
+    return residue.clean(table(spark, d, "documents")).select("doc_id", "repo", "file_path")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -90,10 +90,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _KEY = "split_part(split_part(smiles, ' ', 1), chr(9), 1)"
+# The fingerprints that take part, and all pairs of them with their likeness.
+_SETS = """
+    words AS (SELECT DISTINCT mol_id, [coalesce(fingerprint[i], 0) for i in range(1, 17)] AS w FROM fingerprint_index WHERE fp_name = 'Path' AND fingerprint IS NOT NULL AND mol_id IS NOT NULL),
+    sized AS (SELECT mol_id, w, CAST(list_sum([bit_count(x) for x in w]) AS INTEGER) AS n FROM words),
+    sets AS (SELECT * FROM sized WHERE n > 0 AND n < 1024)"""
+_PAIRS = """
+    pairs AS (SELECT a, b, shared / CAST(na + nb - shared AS DOUBLE) AS likeness FROM (
+        SELECT x.mol_id AS a, y.mol_id AS b, x.n AS na, y.n AS nb, CAST(list_sum([bit_count(x.w[i] & y.w[i]) for i in range(1, 17)]) AS INTEGER) AS shared
+        FROM sets x JOIN sets y ON x.mol_id < y.mol_id AND least(x.n, y.n) >= 0.6 * greatest(x.n, y.n)))"""
+_GRAMS = """
+    d AS (SELECT doc_id, [lower(x) for x in regexp_extract_all(text, '[A-Za-z0-9_]+')] AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+    e AS (SELECT item_id, [lower(x) for x in regexp_extract_all(text, '[A-Za-z0-9_]+')] AS w FROM eval_items WHERE text IS NOT NULL AND item_id IS NOT NULL),
+    dg AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + 12], ' ') for i in range(1, len(w) - 11)]) AS k FROM d WHERE len(w) >= 13),
+    eg AS (SELECT DISTINCT item_id, unnest([array_to_string(w[i:i + 12], ' ') for i in range(1, len(w) - 11)]) AS k FROM e WHERE len(w) >= 13),
+    leaks AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (k))"""
+
 SQL: dict[str, str] = {
     "p2_found": f"""
         WITH asked AS (SELECT DISTINCT lookup_id, {_KEY} AS k FROM key_lookups WHERE {_KEY} <> ''),
         earlier AS (SELECT k, min(pos) AS pos FROM (
             SELECT k, lookup_id AS pos FROM asked UNION ALL SELECT {_KEY}, -1 FROM smiles_index WHERE {_KEY} <> '') GROUP BY k)
         SELECT lookup_id FROM asked JOIN earlier USING (k) WHERE earlier.pos < lookup_id""",
+    "p3_found": f"""
+        WITH {_SETS}, {_PAIRS}, ends AS (SELECT a AS m, b AS o, likeness FROM pairs WHERE likeness >= 0.6 UNION ALL SELECT b, a, likeness FROM pairs WHERE likeness >= 0.6),
+        near AS (SELECT m, o FROM ends QUALIFY row_number() OVER (PARTITION BY m ORDER BY likeness DESC, o) <= 5)
+        SELECT DISTINCT least(m, o) AS mol_id_a, greatest(m, o) AS mol_id_b FROM near""",
+    "p5_found": f"WITH {_SETS}, {_PAIRS} SELECT a AS mol_id_a, b AS mol_id_b FROM pairs WHERE likeness >= 0.8",
+    "p5_links": f"""
+        WITH {_SETS}, {_PAIRS}, ends AS (SELECT a AS mol_id FROM pairs WHERE likeness >= 0.8 UNION ALL SELECT b FROM pairs WHERE likeness >= 0.8),
+        links AS (SELECT mol_id, count(*) AS n FROM ends GROUP BY mol_id)
+        SELECT mol_id, min(mol_id) OVER (PARTITION BY w) AS class_id, coalesce(links.n, 0) AS n_links FROM sets LEFT JOIN links USING (mol_id)""",
+    "p7_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM leaks",
+    "p7_clean": f"WITH {_GRAMS} SELECT doc_id, repo, file_path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaks)",
 }
