@@ -21,7 +21,7 @@ def _brute(docs, items, n):
         return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
     held = {i: grams(t) for i, t in items}
-    return {(d, i) for d, t in docs for i, g in held.items() if g & grams(t)}
+    return {(d, i) for d, t in docs if d is not None for i, g in held.items() if g & grams(t)}
 
 
 @pytest.mark.parametrize("n", [1, 3, 13])
