@@ -9,7 +9,9 @@ each of its first s + 1 tokens.
 Small sets: where the list of a token is long, its members enumerate the
 subsets of two, three, ... first common tokens, each level dividing the lists
 of the level before, until a list is short or the subset has ``DEPTH``
-tokens; the members of such a list are compared. Large sets (over ``LARGE``
+tokens; the members of such a list are compared. Of a list that is divided,
+the members small enough to have no further common token are compared before.
+Large sets (over ``LARGE``
 tokens, of which the subsets would be too many) are compared with the whole
 inverted list instead. The union of both is filtered by the exact likeness. A
 pair comes out of one list only: the one whose tokens are exactly the pair's
@@ -138,8 +140,8 @@ class _List:
         self.spare = sizes - needed(sizes, t)
         self.out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def compare(self, x: np.ndarray, y: np.ndarray, last: np.ndarray, depth: int) -> None:
-        """Pairs whose common tokens up to rank ``last`` should be ``depth`` many."""
+    def compare(self, x: np.ndarray, y: np.ndarray, last: np.ndarray, depth: int, ends: bool = False) -> None:
+        """Pairs whose common tokens up to rank ``last`` should be ``depth`` many; with ``ends``, all their common tokens."""
         for s in range(0, len(x), BLOCK):
             a, b, upto = x[s : s + BLOCK], y[s : s + BLOCK], last[s : s + BLOCK]
             na, nb = self.sizes[a], self.sizes[b]
@@ -150,7 +152,7 @@ class _List:
             common = self.words[a] & self.words[b]
             both = np.bitwise_count(common).sum(axis=1, dtype=np.int64)
             like = both / (self.sizes[a] + self.sizes[b] - both)
-            hit = np.flatnonzero(like >= self.t)
+            hit = np.flatnonzero((like >= self.t) & (both == depth) if ends else like >= self.t)
             if not len(hit):
                 continue
             a, b, upto, common = a[hit], b[hit], upto[hit], common[hit]
@@ -190,6 +192,7 @@ class _List:
             self._pairs(member, group, count, leaf, last, depth)
             go = ~leaf[group]
             member, index, group = member[go], index[go], group[go]
+            self._ending(member, group, last, depth)
             if not len(member):
                 break
             # The next common token of a member stands after the last one and among its first spare + depth + 1.
@@ -207,10 +210,29 @@ class _List:
             depth += 1
 
     def _pairs(self, member: np.ndarray, group: np.ndarray, count: np.ndarray, leaf: np.ndarray, last: np.ndarray, depth: int) -> None:
-        """Compares all members of each leaf, in blocks."""
+        """Compares all members of each leaf."""
         start = np.cumsum(count) - count
         rows = np.flatnonzero(leaf[group])
         after = start[group[rows]] + count[group[rows]] - rows - 1  # later members of the same leaf
+        self._deal(member, rows, after, last[group], depth)
+
+    def _ending(self, member: np.ndarray, group: np.ndarray, last: np.ndarray, depth: int) -> None:
+        """Compares the members of each group that are similar even if they share its tokens only.
+
+        These have sizes of at most depth + depth / t together, so all pairs compared are similar.
+        """
+        both = math.floor(depth + depth / self.t + 1e-9)
+        few = self.sizes[member] <= both - depth
+        member, group = member[few], group[few]
+        key = group * (both + 1) + self.sizes[member]
+        order = np.argsort(key, kind="stable")
+        member, group, key = member[order], group[order], key[order]
+        rows = np.arange(len(member))
+        until = np.searchsorted(key, group * (both + 1) + both - self.sizes[member], side="right")
+        self._deal(member, rows, np.maximum(0, until - rows - 1), last[group], depth, ends=True)
+
+    def _deal(self, member: np.ndarray, rows: np.ndarray, after: np.ndarray, last: np.ndarray, depth: int, ends: bool = False) -> None:
+        """Compares each of ``rows`` with the ``after`` members that follow it, in blocks."""
         upto = np.cumsum(after)
         lo = 0
         while lo < len(rows):
@@ -218,7 +240,7 @@ class _List:
             n = after[lo:hi]
             x = np.repeat(rows[lo:hi], n)
             y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
-            self.compare(member[x], member[y], last[group[x]], depth)
+            self.compare(member[x], member[y], last[x], depth, ends)
             lo = hi
 
 

@@ -82,6 +82,20 @@ def test_deep_lists(spark, monkeypatch):
     assert {tuple(r) for r in setjoin.similar_pairs(_table(spark, sets)).collect()} == _truth(sets)[1]
 
 
+@pytest.mark.parametrize(("threshold", "blocks"), [(0.8, False), (0.8, True), (0.5, False)])
+def test_small_sets_in_crowded_lists(spark, monkeypatch, threshold, blocks):
+    if blocks:
+        monkeypatch.setattr(setjoin, "LIST_ROWS", 100)
+    core = [1000, 1001, 1002, 1003]  # more frequent than the tokens beside them
+    sets = {1: set(core), 2: {*core, 1004}, 3: set(core[:3]), 4: set(core[:2])}
+    for i in range(300):
+        sets[10 + i] = {i, *core}
+        sets[1000 + i] = {i, *core, 1004}
+        sets[2000 + i] = {300 + i, 600 + i, *core[:3]}
+    assert {tuple(r) for r in setjoin.similar_pairs(_table(spark, sets), threshold).collect()} == _truth(sets, t=threshold)[1]
+    assert {r["mol_id"]: r["n_links"] for r in setjoin.linked_rows(_table(spark, sets), threshold).collect()} == _truth(sets, t=threshold)[2]
+
+
 def test_hot_centroid_is_split(spark, monkeypatch):
     monkeypatch.setattr(multi_index, "PART_ROWS", 20)
     sets = _data(9, 400)
