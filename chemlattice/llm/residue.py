@@ -181,9 +181,10 @@ class Exemplars:
             yield bag[at : at + WINDOW]
 
     def _messages(self, bag: list[str]) -> float:
-        covered = 0.0
-        for at in range(0, max(1, len(bag) - STRIDE), STRIDE) if len(bag) > 2 * WINDOW else [0]:
-            window = bag[at : at + WINDOW] if len(bag) > 2 * WINDOW else bag
+        covered: set[int] = set()  # places of words; windows overlap
+        size = WINDOW if len(bag) > 2 * WINDOW else len(bag)
+        for at in range(0, max(1, len(bag) - STRIDE), STRIDE) if size < len(bag) else [0]:
+            window = bag[at : at + size]
             own = Counter(window)
             score: dict[int, float] = defaultdict(float)
             for w, n in own.items():
@@ -194,9 +195,8 @@ class Exemplars:
                 if s >= CONTAINED * self.norm[i]:
                     held |= self.messages[i].keys()
             if held:
-                part = window if len(bag) <= 2 * WINDOW else window[:STRIDE]
-                covered += sum(self.weight[w] for w in part if w in held)
-        return covered
+                covered.update(at + k for k, w in enumerate(window) if w in held)
+        return sum(self.weight[bag[k]] for k in sorted(covered))
 
     def _filler(self, bag: list[str]) -> float:
         covered = 0.0

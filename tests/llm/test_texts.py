@@ -163,3 +163,17 @@ def test_residue_at_any_length(spark):
     rows = [(1, long), (2, "Sample text. " * 60000), (3, "y" * 2_000_000), (4, long + "# Copyright (c) [YEAR] __FULL_NAME__\n")]
     got = {r["doc_id"]: r["kind"] for r in residue.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {2: "filler", 4: "blank"}
+
+
+def test_messages_count_wherever_they_stand_in_long_documents():
+    exemplars = residue.Exemplars(1000, {w: 10 for w in residue.Exemplars.vocabulary()})
+    message = [w for w in residue.words(RESIDUE[1]) if w not in ("\n", residue.NAME)]
+    served = exemplars.mass(residue.Counter(message))
+    for n in (100, 190, 400):
+        for at in range(n + 1):
+            bag = ["zzreal"] * at + message + ["zzreal"] * (n - at)
+            assert exemplars._messages(bag) == pytest.approx(served), (n, at)
+    bag = ["zzreal"] * 100 + message * 5
+    assert exemplars._messages(bag) == pytest.approx(5 * served)
+    text = " ".join(["zzreal"] * 60 + [RESIDUE[1]] * 6)
+    assert exemplars.judge(text)[0] == "message" and exemplars.judge(text)[1] == pytest.approx(6 * served / (6 * served + 60 * exemplars.other))
