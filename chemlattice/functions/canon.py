@@ -49,6 +49,46 @@ class GraphBatch:
         self.graph = np.repeat(np.arange(self.count), self.sizes)
         self.edge_graph = np.repeat(np.arange(self.count), n_edges)
 
+    def take(self, which: np.ndarray) -> GraphBatch:
+        """Some of the graphs, each as often as it is named."""
+        out = object.__new__(GraphBatch)
+        out.count, out.sizes, out.n_edges = len(which), self.sizes[which], self.n_edges[which]
+        out.first = np.concatenate([[0], np.cumsum(out.sizes)])
+        edges = np.concatenate([[0], np.cumsum(self.n_edges)])
+        v, e = _ranges(self.first[which], out.sizes), _ranges(edges[which], out.n_edges)
+        shift = np.repeat(out.first[:-1] - self.first[which], out.n_edges)
+        out.label, out.begin, out.end, out.kind = self.label[v], self.begin[e] + shift, self.end[e] + shift, self.kind[e]
+        out.graph, out.edge_graph = np.repeat(np.arange(out.count), out.sizes), np.repeat(np.arange(out.count), out.n_edges)
+        return out
+
+    def components(self) -> tuple[GraphBatch, np.ndarray, np.ndarray]:
+        """The connected components as graphs, the graph of each, and the vertices in their order."""
+        root = np.arange(len(self.label))
+        while True:
+            low = np.minimum(root[self.begin], root[self.end])
+            new = root.copy()
+            np.minimum.at(new, root[self.begin], low)
+            np.minimum.at(new, root[self.end], low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        order = np.argsort(root, kind="stable")
+        place = np.argsort(order)
+        roots, number, sizes = np.unique(root, return_inverse=True, return_counts=True)
+        own = number[self.begin] if len(self.begin) else np.zeros(0, np.int64)
+        e = np.argsort(own, kind="stable")
+        out = object.__new__(GraphBatch)
+        out.count, out.sizes, out.n_edges = len(roots), sizes, np.bincount(own, minlength=len(roots))
+        out.first = np.concatenate([[0], np.cumsum(sizes)])
+        out.label, out.begin, out.end, out.kind = self.label[order], place[self.begin[e]], place[self.end[e]], self.kind[e]
+        out.graph, out.edge_graph = number[order], own[e]
+        return out, self.graph[roots], order
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return np.arange(int(length.sum())) + np.repeat(start - np.cumsum(length) + length, length)
+
 
 class _Part:
     """Directed edges of some of the graphs, in order of their targets, with a loop at each vertex."""
@@ -180,13 +220,89 @@ def certificates(b: GraphBatch, colour: np.ndarray) -> np.ndarray:
     return out
 
 
+def _numbered(b: GraphBatch, colour: np.ndarray) -> np.ndarray:
+    order = np.lexsort((colour, b.graph))
+    rank = np.empty(len(colour), np.int64)
+    rank[order] = np.arange(len(colour)) - b.first[b.graph[order]]
+    return rank
+
+
+def _twins(b: GraphBatch, member: np.ndarray) -> np.ndarray:
+    """For each graph, whether its ``member`` vertices all hang on one vertex by their only edge; such are images of each other."""
+    degree = np.bincount(b.begin, minlength=len(b.label)) + np.bincount(b.end, minlength=len(b.label))
+    beside = np.zeros(len(b.label), np.int64)
+    beside[b.begin], beside[b.end] = b.end, b.begin
+    hold = np.full(b.count, -1, np.int64)
+    hold[b.graph[member]] = beside[member]
+    out = np.ones(b.count, bool)
+    out[b.graph[member[(degree[member] != 1) | (beside[member] != hold[b.graph[member]])]]] = False
+    return out
+
+
+def _least(b: GraphBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Vertex numbers of the numbering with the smallest certificate, and that certificate, of each graph.
+
+    Every vertex of a tied class is tried, level by level. Of those that lead to equal certificates, which are images of
+    each other, one is followed.
+    """
+    rank, best = np.empty(len(b.label), np.int64), np.full((b.count, 2), np.iinfo(np.uint64).max, np.uint64)
+    which, q, colour = np.arange(b.count), b, refine(b)
+    while q.count:
+        order = np.lexsort((colour, q.graph))
+        g, s = q.graph[order], colour[order]
+        at = np.flatnonzero((g[1:] == g[:-1]) & (s[1:] == s[:-1]))
+        tied, first = np.unique(g[at], return_index=True)
+        is_tied = np.zeros(q.count, bool)
+        is_tied[tied] = True
+        leaf = np.flatnonzero(~is_tied)
+        if len(leaf):
+            done = q.take(leaf)
+            held = colour[_ranges(q.first[leaf], q.sizes[leaf])]
+            digest, number = certificates(done, held), _numbered(done, held)
+            for i, w in enumerate(which[leaf].tolist()):
+                if tuple(digest[i].tolist()) <= tuple(best[w].tolist()):
+                    best[w] = digest[i]
+                    rank[b.first[w] : b.first[w + 1]] = number[done.first[i] : done.first[i + 1]]
+        target = np.zeros(q.count, np.uint64)
+        target[tied] = s[at[first]]
+        member = np.flatnonzero(is_tied[q.graph] & (colour == target[q.graph]))
+        one = np.append(True, q.graph[member][1:] != q.graph[member][:-1])[: len(member)]
+        member = member[one | ~_twins(q, member)[q.graph[member]]]
+        node = q.graph[member]
+        child = q.take(node)
+        c = colour[_ranges(q.first[node], q.sizes[node])]
+        chosen = child.first[:-1] + member - q.first[node]
+        with np.errstate(over="ignore"):
+            c[chosen] = mix(c[chosen] + np.uint64(1))
+        c = _Part(child, None).refine(c)
+        keep = np.bincount(node, minlength=q.count)[node] == 1
+        several = np.flatnonzero(~keep)
+        if len(several):
+            digest = certificates(child.take(several), c[_ranges(child.first[several], child.sizes[several])])
+            o = np.lexsort((digest[:, 1], digest[:, 0], node[several]))
+            n, d = node[several][o], digest[o]
+            keep[several[o[np.append(True, (n[1:] != n[:-1]) | (d[1:] != d[:-1]).any(axis=1))]]] = True
+        kept = np.flatnonzero(keep)
+        which, q, colour = which[node[kept]], child.take(kept), c[_ranges(child.first[kept], child.sizes[kept])]
+    return rank, best
+
+
+_AT_ONCE = 500  # components whose tied vertices are tried together
+
+
 def ranks(b: GraphBatch) -> list[np.ndarray]:
-    """A canonical numbering of each graph's vertices."""
-    final = discrete(b, refine(b))
-    order = np.lexsort((final, b.graph))
-    rank = np.empty(len(final), np.int64)
-    rank[order] = np.arange(len(final)) - b.first[b.graph[order]]
-    return np.split(rank, b.first[1:-1])
+    """A canonical numbering of each graph's vertices: isomorphic graphs become equal under it."""
+    parts, graph, vertices = b.components()
+    rank, digest = np.empty(len(b.label), np.int64), np.empty((parts.count, 2), np.uint64)
+    for lo in range(0, parts.count, _AT_ONCE):
+        hi = min(lo + _AT_ONCE, parts.count)
+        rank[parts.first[lo] : parts.first[hi]], digest[lo:hi] = _least(parts.take(np.arange(lo, hi)))
+    order = np.lexsort((digest[:, 1], digest[:, 0], parts.sizes, graph))
+    before = np.empty(parts.count, np.int64)
+    before[order] = np.cumsum(parts.sizes[order]) - parts.sizes[order]
+    out = np.empty(len(rank), np.int64)
+    out[vertices] = rank + before[parts.graph] - b.first[b.graph[vertices]]
+    return np.split(out, b.first[1:-1])
 
 
 def isomorphic(a: tuple, b: tuple) -> bool:

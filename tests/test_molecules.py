@@ -85,6 +85,21 @@ def test_canonical_keys_join_writings():
     assert canonical_keys([parse("CC=O")]) != canonical_keys([parse("CCO")])
 
 
+def test_canonical_keys_join_writings_of_which_tied_atoms_are_no_images():
+    assert len(set(canonical_keys([parse("C1CCCCC1.C1CC1"), parse("C1CC1.C1CCCCC1")]))) == 1
+    assert len(set(canonical_keys([parse("C1CCCCC1.C1CC1"), parse("C1CCCC1.C1CCC1")]))) == 2
+    # The generalised Petersen graph (7, 2): connected, all vertices of one colour, but not images of each other.
+    ties = ([6] * 14, [*range(14), *range(7)], [*[(i + 1) % 7 for i in range(7)], *[7 + (i + 2) % 7 for i in range(7)], *range(7, 14)], [1] * 21)
+    for g in (ties, *[graph_of(s) for s in CORPUS if graph_of(s)]):
+        forms = set()
+        for seed in range(8):
+            h = _shuffled(g, seed) if seed else g
+            r = canon.ranks(canon.GraphBatch([h]))[0].tolist()
+            assert sorted(r) == list(range(len(r)))
+            forms.add((tuple(x for _, x in sorted(zip(r, h[0]))), tuple(sorted((min(r[a], r[b]), max(r[a], r[b]), k) for a, b, k in zip(h[1], h[2], h[3])))))
+        assert len(forms) == 1
+
+
 @pytest.mark.parametrize("text", CORPUS)
 def test_reduced_graph_expands_to_the_regular_one(text):
     g = graph_of(text)
