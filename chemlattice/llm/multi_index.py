@@ -315,7 +315,16 @@ def neighbour_pairs(table: DataFrame, k: int = 5, least: float = 0.6, candidates
 
 
 def _expand(mem: DataFrame, cls: DataFrame, alike: DataFrame, k: int) -> DataFrame:
-    """From classes to molecules. A class's k + 1 best members of its own and of its k best classes hold every answer."""
+    """Pairs of molecules from classes."""
+    pairs = _nearest(mem, cls, alike, k)
+    return pairs.select(F.least("mol_id", "near").alias("mol_id_a"), F.greatest("mol_id", "near").alias("mol_id_b")).distinct()
+
+
+def _nearest(mem: DataFrame, cls: DataFrame, alike: DataFrame, k: int, every: int = 1) -> DataFrame:
+    """``mol_id, near`` of the molecules whose id is divisible by ``every``, from classes.
+
+    A class's k + 1 best members of its own and of its k best classes hold every answer.
+    """
     named = mem.join(cls.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "mol_id")
     small = named.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("mol_id"))).where(F.col("n") <= k + 1).select(F.col("rep").alias("other"), F.col("mol_id").alias("near"))
     reach = alike.unionByName(cls.select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("likeness")))
@@ -329,8 +338,7 @@ def _expand(mem: DataFrame, cls: DataFrame, alike: DataFrame, k: int) -> DataFra
         .where((F.size("best") > 1) | (F.element_at("best", 1)["near"] != F.col("rep")))
     )
     own = F.slice(F.filter(F.transform("best", lambda x: x["near"]), lambda x: x != F.col("mol_id")), 1, k)
-    pairs = named.join(lists, "rep").select("mol_id", F.explode(own).alias("near"))
-    return pairs.select(F.least("mol_id", "near").alias("mol_id_a"), F.greatest("mol_id", "near").alias("mol_id_b")).distinct()
+    return named.where(F.col("mol_id") % every == 0).join(lists, "rep").select("mol_id", F.explode(own).alias("near"))
 
 
 _EXACT_ROWS = 2048
@@ -382,10 +390,15 @@ def exact_class_neighbours(cls: DataFrame, asked: DataFrame, k: int, least: floa
 
 
 def recall(table: DataFrame, k: int = 5, least: float = 0.6, every: int = 20) -> DataFrame:
-    """One row: true neighbours of the classes whose id is divisible by ``every``, those found, and the share lost."""
+    """One row: true neighbours of the molecules whose id is divisible by ``every``, those found, and the share lost.
+
+    Classes are compared once; copies count as the molecules they are.
+    """
     rows = valid(table)
+    mem = stage(members(rows), "members")
     cls = stage(classes(rows), "classes", tasks_for(table.sparkSession, table.count(), 50_000))
-    got = class_neighbours(cls, k, least).select("rep", "other", F.lit(1).alias("got"))
-    truth = exact_class_neighbours(cls, cls.where(F.col("rep") % every == 0), k, least)
-    j = truth.join(got, ["rep", "other"], "left")
+    asked = cls.join(mem.where(F.col("mol_id") % every == 0).select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+    got = _nearest(mem, cls, class_neighbours(cls, k, least), k, every).withColumn("got", F.lit(1))
+    truth = _nearest(mem, cls, exact_class_neighbours(cls, asked, k, least), k, every)
+    j = truth.join(got, ["mol_id", "near"], "left")
     return j.agg(F.count("*").alias("n_true"), F.count("got").alias("n_found")).select("n_true", "n_found", F.coalesce(1 - F.try_divide("n_found", "n_true"), F.lit(0.0)).alias("share_lost"))

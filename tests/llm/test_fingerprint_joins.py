@@ -109,6 +109,17 @@ def test_recall_and_exact_search(spark):
     assert r["n_true"] > 1000 and 0 <= r["share_lost"] < 0.05
 
 
+def test_recall_counts_copies_as_molecules(spark):
+    sets = _data(4, 300, hot=60)
+    every = 4
+    part = {i: s for i, s in sets.items() if 0 < len(s) < 1024}
+    like = lambda a, b: len(a & b) / len(a | b)
+    asked = [i for i in part if i % every == 0]
+    n = sum(min(5, sum(o != i and like(part[i], s) >= 0.6 for o, s in part.items())) for i in asked)
+    r = multi_index.recall(_table(spark, sets), every=every).first()
+    assert r["n_true"] == n and 0.95 * n <= r["n_found"] <= n
+
+
 def test_heap_order(monkeypatch):
     monkeypatch.setattr(multi_index, "LEAST_CELLS", 1)
     counts = np.ones(16, np.int32)
