@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -232,20 +233,32 @@ def _targets(table: DataFrame, fp_name: str, n_bits: int) -> DataFrame:
 
 
 FEW = 64  # queries up to which a join by sizes serves
+BLOCK = 100_000  # queries that are collected and broadcast at once
 _ROWS, _QUERIES = 2000, 2048  # rows and queries of one matrix product
 
 
-def _products(table: DataFrame, queries: DataFrame, fp_name: str, n_bits: int, most: int, test: Callable, with_score: bool) -> DataFrame:
-    """Meets all rows with blocks of a stated set of queries, of checked number, by products of bit matrices.
+def _products(table: DataFrame, queries: DataFrame, fp_name: str, n_bits: int, most: int | None, test: Callable, with_score: bool) -> DataFrame:
+    """Meets all rows with a stated set of queries, of any number unless ``most`` is given, ``BLOCK`` at a time."""
+    stated = _stated(queries, n_bits)
+    count = stated.count() if most is None else stated.limit(most + 1).count()
+    if most is not None and count > most:
+        raise ValueError(f"more than {most} queries; search in several runs")
+    kind = dict(queries.dtypes)["query_id"]
+    blocks = max(1, math.ceil(count / BLOCK))
+    block = F.pmod(F.xxhash64(*stated.columns), F.lit(blocks))
+    hits = [_block_products(table, stated.where(block == i), fp_name, n_bits, test, with_score) for i in range(blocks)]
+    out = reduce(DataFrame.unionByName, hits)
+    return out.withColumn("query_id", F.col("query_id").cast(kind)) if kind != "bigint" else out
+
+
+def _block_products(table: DataFrame, stated: DataFrame, fp_name: str, n_bits: int, test: Callable, with_score: bool) -> DataFrame:
+    """Meets all rows with one block of queries, which is collected and broadcast, by products of bit matrices.
 
     ``test(both, rows' sizes, queries' sizes)`` marks the hits of a block. The table isn't shuffled.
     """
     k = (n_bits + 63) // 64
-    rows = _stated(queries, n_bits).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} queries; search in several runs")
+    rows = stated.collect()
     spark = table.sparkSession
-    kind = dict(queries.dtypes)["query_id"]
     schema = "query_id long, mol_id long" + (", score double" if with_score else "")
     names = ["query_id", "mol_id", *(["score"] if with_score else [])]
     ids = np.array([r["query_id"] for r in rows], np.int64)
@@ -274,11 +287,10 @@ def _products(table: DataFrame, queries: DataFrame, fp_name: str, n_bits: int, m
                         columns.append(pa.array(x / (own_size[r] + n[c] - x)))
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    hits = _targets(table, fp_name, n_bits).mapInArrow(each, schema)
-    return hits.withColumn("query_id", F.col("query_id").cast(kind)) if kind != "bigint" else hits
+    return _targets(table, fp_name, n_bits).mapInArrow(each, schema)
 
 
-def similar_batch(table: DataFrame, queries: DataFrame, t: float = 0.8, fp_name: str = "Path", n_bits: int = 1024, most: int = 100_000) -> DataFrame:
+def similar_batch(table: DataFrame, queries: DataFrame, t: float = 0.8, fp_name: str = "Path", n_bits: int = 1024, most: int | None = None) -> DataFrame:
     """``query_id, mol_id, score`` for a set of queries ``(query_id, fingerprint)`` with whole numbers as ids.
 
     A few queries meet the rows by a join on the sizes that can reach t, each query standing under each size of its
@@ -302,7 +314,7 @@ def similar_batch(table: DataFrame, queries: DataFrame, t: float = 0.8, fp_name:
     return met.select("query_id", "mol_id", score.alias("score")).where(F.col("score") >= t).distinct()
 
 
-def screen_batch(table: DataFrame, queries: DataFrame, fp_name: str = "Path", n_bits: int = 1024, most: int = 100_000) -> DataFrame:
+def screen_batch(table: DataFrame, queries: DataFrame, fp_name: str = "Path", n_bits: int = 1024, most: int | None = None) -> DataFrame:
     """``query_id, mol_id`` of the rows that contain each query's bits; queries without bits meet all rows."""
 
     def test(both: np.ndarray, rows: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -113,6 +113,18 @@ def test_batches(spark, table, data):
     assert S.similar_batch(table, queries.limit(0), 0.6, "K", 192).count() == 0
 
 
+def test_many_queries_run_in_blocks(spark, table, data, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 30, raising=False)
+    monkeypatch.setattr(S, "FEW", 4)
+    asked = sorted(i for i, s in data.items() if s)[:100]
+    queries = spark.createDataFrame([(i, B.host_words(data[i], 192)) for i in asked], "query_id int, fingerprint array<long>")
+    similar = S.similar_batch(table, queries, 0.6, "K", 192)
+    assert {(r[0], r[1]) for r in similar.collect()} == {(q, i) for q in asked for i, s in _all(data).items() if s and _like(s, data[q]) >= 0.6}
+    screened = S.screen_batch(table, queries, "K", 192)
+    assert {(r[0], r[1]) for r in screened.collect()} == {(q, i) for q in asked for i, s in _all(data).items() if data[q] <= s}
+    assert all(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") >= 3 for df in (similar, screened))
+
+
 def test_plans_push_the_kind_and_stay_generated(spark, tmp_path, table, data):
     table.write.parquet(str(tmp_path / "t"))
     df = S.similar(spark.read.parquet(str(tmp_path / "t")), S.Query(B.host_words(data[3], 192), 192, "K"), 0.8)
