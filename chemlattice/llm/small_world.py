@@ -128,6 +128,7 @@ class SmallWorld:
 
     @staticmethod
     def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = a.astype(np.float64), b.astype(np.float64)  # whole numbers, of which float32 is too short for squares
         return np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None] - 2 * a @ b.T, 0)
 
     def _link(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:

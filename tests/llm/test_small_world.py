@@ -133,3 +133,11 @@ def test_tiny_graphs(n):
     g = S.SmallWorld(np.eye(max(n, S.DIMENSIONS), S.DIMENSIONS, dtype=np.float32)[:n])
     assert g.tune() == 1.0
     assert (g.search(g.vectors)[1][:, 0] < 1e-3).all()
+
+
+def test_very_long_molecules_are_near_themselves():
+    rng = np.random.default_rng(3)
+    vectors = rng.multinomial(24_000, np.full(S.DIMENSIONS, 1 / S.DIMENSIONS), 64).astype(np.float32)
+    vectors[:, :4] += 6000  # a few frequent environments
+    d = S.SmallWorld._exact(vectors, vectors)
+    assert (np.diag(d) == 0).all() and (S.SmallWorld(vectors).search(vectors)[1][:, 0] == 0).all()
