@@ -23,8 +23,9 @@ from chemlattice.functions.graphs import Graph, Pattern, adjacency, graph_of
 PATH_ATOMS = 7
 
 
-def _bit(code: object, n_bits: int) -> int:
-    return int.from_bytes(hashlib.blake2b(repr(code).encode(), digest_size=8).digest(), "big") % n_bits
+def _bit(code: tuple, n_bits: int) -> int:
+    """A bit for a code, by the first 60 bits of the MD5 of its numbers as text, so that SQL can work it out, too."""
+    return int(hashlib.md5(",".join(map(str, code)).encode(), usedforsecurity=False).hexdigest()[:15], 16) % n_bits
 
 
 @lru_cache(maxsize=1 << 18)
@@ -65,7 +66,7 @@ def atom_pair_bits(g: Graph, n_bits: int = 1024) -> set[int]:
         for w, d in dist.items():
             if w > root:
                 a, b = sorted(((label[root], len(near[root])), (label[w], len(near[w]))))
-                out.add(_path_bit(("pair", a, b, d), n_bits))
+                out.add(_path_bit((*a, *b, d), n_bits))
     return out
 
 
@@ -79,7 +80,45 @@ def torsion_bits(g: Graph, n_bits: int = 1024) -> set[int]:
                     for d in near[c]:
                         if len({a, b, c, d}) == 4:
                             code = tuple((label[x], len(near[x])) for x in (a, b, c, d))
-                            out.add(_path_bit(("torsion", min(code, code[::-1])), n_bits))
+                            out.add(_path_bit(sum(min(code, code[::-1]), ()), n_bits))
+    return out
+
+
+def layered_bits(g: Graph, n_bits: int = 2048) -> set[int]:
+    """Paths seen through three layers: their shape alone, with the bonds, and with atoms and bonds. Safe for screening."""
+    near, label = adjacency(g), g[0]
+    out: set[int] = set()
+    for root in range(len(label)):
+        stack: list[tuple[int, tuple, tuple, tuple]] = [(root, (root,), (label[root],), ())]
+        while stack:
+            v, path, code, bonds = stack.pop()
+            out.add(_path_bit((1, len(path)), n_bits))
+            out.add(_path_bit((2, *min(bonds, bonds[::-1])), n_bits))
+            out.add(_path_bit((3, *min(code, code[::-1])), n_bits))
+            if len(path) < PATH_ATOMS:
+                for w, k in near[v].items():
+                    if w not in path:
+                        stack.append((w, (*path, w), (*code, k, label[w]), (*bonds, k)))
+    return out
+
+
+def topological_bits(g: Graph, n_bits: int = 2048) -> set[int]:
+    """Paths of bonds with the elements they join, aromatic or not, two bits for each path. Safe for screening."""
+    element = {128: 6, 129: 7, 130: 8, 131: 15, 132: 16, 133: 33, 134: 34}
+    plain: Graph = ([element.get(x, x) for x in g[0]], g[1], g[2], g[3])
+    near, label = adjacency(plain), plain[0]
+    out: set[int] = set()
+    for root in range(len(label)):
+        stack: list[tuple[int, tuple, tuple]] = [(root, (root,), (label[root],))]
+        while stack:
+            v, path, code = stack.pop()
+            if len(path) > 1:
+                one = min(code, code[::-1])
+                out |= {_path_bit((salt, *one), n_bits) for salt in (4, 5)}
+            if len(path) < PATH_ATOMS:
+                for w, k in near[v].items():
+                    if w not in path:
+                        stack.append((w, (*path, w), (*code, k, label[w])))
     return out
 
 
@@ -148,6 +187,8 @@ register_fingerprint("GraphPath", path_bits, 1024, True)
 register_fingerprint("Pattern", pattern_bits, len(PATTERNS), True)
 register_fingerprint("AtomPair", atom_pair_bits, 1024)
 register_fingerprint("Torsion", torsion_bits, 1024)
+register_fingerprint("Layered", layered_bits, 2048, True)
+register_fingerprint("Topological", topological_bits, 2048, True)
 
 
 def available_fingerprints() -> list[str]:

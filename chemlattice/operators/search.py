@@ -19,7 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chemlattice.functions import bits as B
@@ -38,7 +38,11 @@ class Query:
     bits: list[int] = field(init=False)
 
     def __post_init__(self) -> None:
-        self.words = [int(w or 0) for w in self.words][: (self.n_bits + 63) // 64]
+        """Missing words are zero, as in a table; a set bit beyond the width is an error."""
+        self.words = [int(w or 0) for w in self.words]
+        if any(self.words[(self.n_bits + 63) // 64 :]) or (self.n_bits % 64 and len(self.words) * 64 > self.n_bits and self.words[self.n_bits // 64] >> (self.n_bits % 64) not in (0, -1)):
+            raise ValueError(f"the query is wider than {self.n_bits} bits")
+        self.words = self.words[: (self.n_bits + 63) // 64]
         self.words += [0] * ((self.n_bits + 63) // 64 - len(self.words))
         self.bits = B.host_bits(self.words, self.n_bits)
 
@@ -55,18 +59,18 @@ def query_of(table: DataFrame, mol_id: int, fp_name: str = "Path") -> Query | No
 
 # Strategies: predicates that every hit meets and that are cheaper than the full test.
 
-Predicate = Callable[[list[Column], Query], Column | None]
+Predicate = Callable[[list[Column], Query, Column], Column | None]
 
 
-def _no_screen(w: list[Column], q: Query) -> Column | None:
+def _no_screen(w: list[Column], q: Query, n: Column) -> Column | None:
     return None
 
 
-def _popcount_screen(w: list[Column], q: Query) -> Column:
-    return B.popcount(w) >= len(q.bits)
+def _popcount_screen(w: list[Column], q: Query, n: Column) -> Column:
+    return n >= len(q.bits)
 
 
-def _segment_screen(w: list[Column], q: Query, k: int = 4) -> Column:
+def _segment_screen(w: list[Column], q: Query, n: Column, k: int = 4) -> Column:
     own = B.segments(B.literals(q.words), k)
     out = F.lit(True)
     for have, want in zip(B.segments(w, k), own):
@@ -81,11 +85,11 @@ def popcount_band(bits: Column, n: int, t: float) -> Column:
     return bits.between(math.ceil(t * n - SLACK), math.floor(n / t + SLACK))
 
 
-def _band(w: list[Column], q: Query, t: float) -> Column:
-    return popcount_band(B.popcount(w), len(q.bits), t)
+def _band(w: list[Column], q: Query, n: Column, t: float) -> Column:
+    return popcount_band(n, len(q.bits), t)
 
 
-def _segment_band(w: list[Column], q: Query, t: float, k: int = 4) -> Column:
+def _segment_band(w: list[Column], q: Query, n: Column, t: float, k: int = 4) -> Column:
     """Sum of the smaller over sum of the larger segment counts bounds the likeness from above."""
     pairs = list(zip(B.segments(w, k), B.segments(B.literals(q.words), k)))
     low = sum((F.least(a, b) for a, b in pairs), F.lit(0))
@@ -93,7 +97,7 @@ def _segment_band(w: list[Column], q: Query, t: float, k: int = 4) -> Column:
     return low >= F.lit(t - SLACK) * high
 
 
-STRATEGIES: dict[str, tuple[Predicate, Callable[[list[Column], Query, float], Column] | None]] = {
+STRATEGIES: dict[str, tuple[Predicate, Callable[[list[Column], Query, Column, float], Column] | None]] = {
     "brute": (_no_screen, None),
     "popcount": (_popcount_screen, _band),
     "segments": (_segment_screen, _segment_band),
@@ -107,10 +111,27 @@ def _strategy(name: str):
     return STRATEGIES[name]
 
 
-def screen(table: DataFrame, q: Query, strategy: str = "popcount", limit: int = 0) -> DataFrame:
-    """``mol_id`` of the molecules whose fingerprint contains the query's; by id, at most ``limit`` (0: all)."""
+def _count(w: list[Column], counted: str | None) -> Column:
+    return F.col(counted) if counted else B.popcount(w)
+
+
+def indexed(table: DataFrame, fp_name: str, n_bits: int) -> DataFrame:
+    """A table to be searched often: ``mol_id, fp_name, fingerprint, n`` once each, ``n`` the true bit count, sorted by it.
+
+    Written as Parquet, its row groups hold narrow ranges of ``n``, so the bounds of a search (``counted="n"``) reach the scan.
+    """
+    w = B.words("fingerprint", n_bits)
+    rows = of_kind(table, fp_name).select(F.col("mol_id").cast("long").alias("mol_id"), "fp_name", F.array(*w).alias("fingerprint"), B.popcount(w).cast("int").alias("n"))
+    return rows.distinct().repartitionByRange("n", "mol_id").sortWithinPartitions("n", "mol_id")
+
+
+def screen(table: DataFrame, q: Query, strategy: str = "popcount", limit: int = 0, counted: str | None = None) -> DataFrame:
+    """``mol_id`` of the molecules whose fingerprint contains the query's; by id, at most ``limit`` (0: all).
+
+    ``counted`` names a column with true bit counts, which the scan can then use to skip row groups; without it they are worked out.
+    """
     w = B.words("fingerprint", q.n_bits)
-    cheap = _strategy(strategy)[0](w, q)
+    cheap = _strategy(strategy)[0](w, q, _count(w, counted))
     rows = of_kind(table, q.fp_name)
     rows = rows.where(cheap) if cheap is not None else rows
     hits = rows.where(B.contains(w, B.literals(q.words))).select("mol_id").distinct()
@@ -128,17 +149,17 @@ def screen_all(table: DataFrame, queries: Sequence[Query], strategy: str = "popc
     return hits.orderBy("mol_id").limit(limit) if limit else hits
 
 
-def similar(table: DataFrame, q: Query, t: float = 0.8, strict: bool = False, strategy: str = "popcount", limit: int = 0, top: int = 0) -> DataFrame:
+def similar(table: DataFrame, q: Query, t: float = 0.8, strict: bool = False, strategy: str = "popcount", limit: int = 0, top: int = 0, counted: str | None = None) -> DataFrame:
     """``mol_id, score`` of the molecules with likeness of at least (``strict``: above) t.
 
-    ``top`` keeps the best by score, then id; ``limit`` the first by id.
+    ``top`` keeps the best by score, then id; ``limit`` the first by id; ``counted`` as in ``screen``.
     """
     w = B.words("fingerprint", q.n_bits)
     rows = of_kind(table, q.fp_name)
     cheap = _strategy(strategy)[1]
     if cheap is not None and t > 0:
-        rows = rows.where(cheap(w, q, t))
-    score = B.tanimoto(w, B.literals(q.words), B.popcount(w), len(q.bits))
+        rows = rows.where(cheap(w, q, _count(w, counted), t))
+    score = B.tanimoto(w, B.literals(q.words), _count(w, counted), len(q.bits))
     rows = rows.select("mol_id", score.alias("score"))
     rows = rows.where(F.col("score") > t if strict else F.col("score") >= t).distinct()
     if top:
@@ -177,12 +198,28 @@ def postings(table: DataFrame, fp_name: str = "Path") -> DataFrame:
 
 
 def bit_counts(table: DataFrame, fp_name: str = "Path", n_bits: int = 1024) -> DataFrame:
-    """``bit, n_set, n_clear, imbalance`` over the different rows: how evenly each bit splits the table."""
-    n = of_kind(table, fp_name).select("mol_id", "fingerprint").distinct().count()
-    held = postings(table, fp_name).groupBy("bit").agg(F.count("*").alias("n_set"))
-    every = table.sparkSession.range(n_bits).select(F.col("id").cast("int").alias("bit"))
-    n_set = F.coalesce("n_set", F.lit(0).cast("long"))
-    return every.join(F.broadcast(held), "bit", "left").select("bit", n_set.alias("n_set"), (F.lit(n) - n_set).alias("n_clear"), F.abs(F.lit(n) - 2 * n_set).alias("imbalance"))
+    """``bit, n_set, n_clear, imbalance`` over the different rows: how evenly each bit splits the table.
+
+    Each task adds up its rows' bits in one vector, so no more than ``n_bits`` rows a task are shuffled after the copies are gone.
+    """
+    k = (n_bits + 63) // 64
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_bits + 1, np.int64)  # the last one counts rows
+        for b in batches:
+            for lo in range(0, b.num_rows, 4000):
+                own = np.stack([b[f"w{i}"].to_numpy()[lo : lo + 4000] for i in range(k)], axis=1)
+                total[:n_bits] += np.unpackbits(np.ascontiguousarray(own).view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)[:n_bits]
+                total[n_bits] += len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_bits + 1, dtype=np.int32)), pa.array(total)], names=["bit", "n"])
+
+    w = B.words("fingerprint", n_bits)
+    rows = of_kind(table, fp_name).select("mol_id", *[x.alias(f"w{i}") for i, x in enumerate(w)]).distinct().drop("mol_id")
+    sums = rows.mapInArrow(each, "bit int, n long").groupBy("bit").agg(F.sum("n").alias("n_set"))
+    every = table.sparkSession.range(n_bits + 1).select(F.col("id").cast("int").alias("bit"))
+    full = every.join(F.broadcast(sums), "bit", "left").select("bit", F.coalesce("n_set", F.lit(0).cast("long")).alias("n_set"))  # n_bits + 1 rows
+    rows_in_all = F.max(F.when(F.col("bit") == n_bits, F.col("n_set"))).over(Window.partitionBy(F.lit(1)))
+    return full.withColumn("all", rows_in_all).where(F.col("bit") < n_bits).select("bit", "n_set", (F.col("all") - F.col("n_set")).alias("n_clear"), F.abs(F.col("all") - 2 * F.col("n_set")).alias("imbalance"))
 
 
 def splitting_bits(table: DataFrame, k: int, fp_name: str = "Path", n_bits: int = 1024) -> list[int]:

@@ -8,6 +8,7 @@ without a graph never match; a query that can't be read raises.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from chemlattice.functions.graphs import Graph, Pattern, graph_of
 
 # Names that callers may use for the one matcher.
 ALGORITHMS = {"mono": "mono", "induced": "induced", "regular": "mono", "reduced": "mono", "smarts": "mono"}
-MOST_QUERIES = 10_000
+AT_ONCE = 10_000  # queries whose graphs are sent to all tasks together
 
 
 def _mode(name: str) -> str:
@@ -30,7 +31,10 @@ def _mode(name: str) -> str:
     return ALGORITHMS[name]
 
 
-def query_graph(smiles: str) -> Graph:
+def query_graph(smiles: str | Graph) -> Graph:
+    """The graph of a query; a graph stays as it is."""
+    if isinstance(smiles, tuple):
+        return smiles
     g = graph_of(smiles)
     if g is None:
         raise ValueError(f"not a readable molecule: {smiles!r}")
@@ -52,7 +56,7 @@ def _graphs(b: pa.RecordBatch) -> Iterator[Graph | None]:
         yield label[ao[i] : ao[i + 1]].tolist(), x[s:e].tolist(), y[s:e].tolist(), k[s:e].tolist()
 
 
-def match(targets: DataFrame, smiles: str, algorithm: str = "mono", limit: int = 0) -> DataFrame:
+def match(targets: DataFrame, smiles: str | Graph, algorithm: str = "mono", limit: int = 0) -> DataFrame:
     """``mol_id`` of the targets that hold the query; every target is tested. ``limit`` keeps the first by id."""
     pattern, induced = Pattern(query_graph(smiles)), _mode(algorithm) == "induced"
 
@@ -100,30 +104,62 @@ def with_fingerprints(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def match_batch(targets: DataFrame, queries: DataFrame, algorithm: str = "mono") -> DataFrame:
-    """``query_id, mol_id`` for a set of queries ``(query_id, smiles)``: one pass over the targets.
+    """``query_id, mol_id`` for a set of queries ``(query_id, smiles)``: one pass over the targets for each ``AT_ONCE`` queries.
 
-    The queries' number is checked (``MOST_QUERIES``), as their graphs are sent to all tasks; unreadable ones match nothing.
+    Each query is screened first, by how often its atoms and its bonds with their ends occur: only targets with as many
+    of each are matched. The counts of a batch of targets against those of all queries are one comparison of arrays.
+    Unreadable queries match nothing.
     """
-    rows = queries.select("query_id", "smiles").distinct().limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries at once")
-    patterns = [(r["query_id"], Pattern(g)) for r in rows if (g := graph_of(r["smiles"])) is not None]
-    induced = _mode(algorithm) == "induced"
+    held = sorted((r for r in queries.select("query_id", "smiles").where("query_id is not null").distinct().toLocalIterator()), key=lambda r: (r["query_id"], r["smiles"] or ""))
     kind = dict(queries.dtypes)["query_id"]
+    patterns = [(r["query_id"], g) for r in held if (g := graph_of(r["smiles"])) is not None]
+    out = None
+    for lo in range(0, len(patterns), AT_ONCE):
+        part = _match_some(targets, patterns[lo : lo + AT_ONCE], _mode(algorithm) == "induced")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return targets.sparkSession.createDataFrame([], f"query_id {kind}, mol_id long")
+    return out.select(F.col("query_id").cast(kind).alias("query_id"), "mol_id").distinct()
+
+
+def _features(g: Graph) -> Counter:
+    """Atoms by label, and bonds by their label and those of their ends."""
+    out: Counter = Counter(g[0])
+    for (a, b), k in {(min(a, b), max(a, b)): k for a, b, k in zip(g[1], g[2], g[3])}.items():  # parallel bonds count once
+        x, y = g[0][a], g[0][b]
+        out[(min(x, y), k, max(x, y))] += 1
+    return out
+
+
+def _match_some(targets: DataFrame, queries: list[tuple[int, Graph]], induced: bool) -> DataFrame:
+    patterns = [(q, Pattern(g)) for q, g in queries]
+    counts = [_features(g) for _, g in queries]
+    place = {f: i for i, f in enumerate(dict.fromkeys(f for c in counts for f in c))}
+    need = np.zeros((len(queries), len(place)), np.int16)
+    for i, c in enumerate(counts):
+        for f, n in c.items():
+            need[i, place[f]] = min(n, 32_000)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            q, m = [], []
-            for mol, g in zip(b["mol_id"].to_pylist(), _graphs(b)):
-                if g is not None:
-                    for qid, p in patterns:
-                        if p.matches(g, induced):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                b = whole.slice(lo, 500)
+                graphs, q, m = list(_graphs(b)), [], []
+                have = np.zeros((len(graphs), len(place)), np.int16)
+                for i, g in enumerate(graphs):
+                    for f, n in _features(g).items() if g is not None else ():
+                        if f in place:
+                            have[i, place[f]] = min(n, 32_000)
+                ids = b["mol_id"].to_pylist()
+                for j, (qid, p) in enumerate(patterns):
+                    used = np.flatnonzero(need[j])
+                    for i in np.flatnonzero((have[:, used] >= need[j, used]).all(axis=1)).tolist():
+                        if graphs[i] is not None and p.matches(graphs[i], induced):
                             q.append(qid)
-                            m.append(mol)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(m, pa.int64())], names=["query_id", "mol_id"])
+                            m.append(ids[i])
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(m, pa.int64())], names=["query_id", "mol_id"])
 
-    hits = targets.where("mol_id is not null").select("mol_id", "atoms", "bonds").mapInArrow(each, "query_id long, mol_id long")
-    return hits.select(F.col("query_id").cast(kind).alias("query_id"), "mol_id").distinct()
+    return targets.where("mol_id is not null").select("mol_id", "atoms", "bonds").mapInArrow(each, "query_id long, mol_id long")
 
 
 def bond_table(targets: DataFrame) -> DataFrame:

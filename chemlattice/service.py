@@ -81,7 +81,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("-Smin", type=float, default=0.8)
     p.add_argument("-search", choices=["exact", "screen", "similar", "full", "quick"], default="quick")
     p.add_argument("-algorithm", default="mono")
-    p.add_argument("-max", type=int, default=0)
+    p.add_argument("-max", type=int, default=10_000, help="hits that are printed at most")
     p.add_argument("-serve", action="store_true", help="answer requests on standard input")
     a = p.parse_args(args)
     if a.serve:

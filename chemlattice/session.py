@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +81,45 @@ def stage(df: DataFrame, name: str = "stage", parts: int | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, through Hadoop's file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+_prepared: dict[tuple, str] = {}
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and last change of a file or of a folder's files."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = fs.getFileStatus(p)
+    files = [held] if held.isFile() else list(fs.listStatus(p))
+    return sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0)
+
+
+def prepared(spark: SparkSession, directory: str, source: str, name: str, make: Callable[[str], None]) -> str:
+    """Folder of what ``make`` works out of a table once, such as parsed molecules or a sorted index.
+
+    It is made again when the table has changed or the folder is gone, and lasts as long as the application.
+    """
+    key = (spark.sparkContext.applicationId, directory, name, _stamp(spark, f"{directory}/{source}.parquet"))
+    path = _prepared.get(key)
+    if path is None or not exists(spark, path):
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        make(path)
+        _prepared[key] = path
+    return path
+
+
+def drop_staged(spark: SparkSession, df: DataFrame) -> None:
+    """Deletes the files of a staged table that is no longer needed."""
+    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def slots(spark: SparkSession) -> int:
     """Tasks that can run at once."""
     return max(1, spark.sparkContext.defaultParallelism)

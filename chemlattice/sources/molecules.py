@@ -11,13 +11,14 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chemlattice.functions import canon
-from chemlattice.functions.graphs import from_text, reduced_graph, regular_graph, to_text
+from chemlattice.functions.aromatic import perceive
+from chemlattice.functions.graphs import Graph, from_text, reduced_graph, regular_graph, to_text
 from chemlattice.session import stage
-from chemlattice.functions.smiles import AROMATIC_BOND, DOUBLE, NUMBER, SINGLE, TRIPLE, Molecule, key_of, molecular_weight, parse
+from chemlattice.functions.smiles import AROMATIC_BOND, DOUBLE, NUMBER, SINGLE, TRIPLE, Molecule, hydrogen_count, key_of, labels, molecular_weight, parse
 
 FORMATS = {"smi": "smiles", "smiles": "smiles", "can": "smiles", "sdf": "sdf", "mol": "sdf", "graphs": "graphs"}
 
@@ -38,14 +39,10 @@ def numbered(df: DataFrame, name: str = "position", keep: bool = False) -> DataF
     """
     part = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % F.lit(1 << 33))
     part = stage(part, "numbered") if keep else part
-    sizes = {r["_part"]: r["n"] for r in part.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one row a partition
-    offset, at = {}, 0
-    for p in sorted(sizes):
-        offset[p], at = at, at + sizes[p]
-    if not offset:
-        return df.withColumn(name, F.lit(0).cast("long")).limit(0)
-    start = F.create_map(*[F.lit(x).cast("long") for kv in offset.items() for x in kv])
-    return part.withColumn(name, start[F.col("_part").cast("long")] + F.col("_at")).drop("_part", "_at")
+    sizes = part.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    start = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_start"))
+    return part.join(F.broadcast(start), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
 
 
 def read_molecules(spark: SparkSession, path: str) -> DataFrame:
@@ -92,22 +89,29 @@ def parse_molblock(block: str | None) -> Molecule | None:
         return None
 
 
-def canonical_key(m: Molecule, rank: list[int]) -> str:
+def _identity(m: Molecule) -> list[int]:
+    """Vertex labels that also tell charge, isotope and hydrogens apart; those of an ordinary atom are small numbers."""
+    return [x + 1000 * (k + 32 * (q + 64) + 8192 * i) for x, k, q, i in zip(labels(m), hydrogen_count(m), m.charge, m.isotope)]
+
+
+def canonical_key(g: Graph, rank: list[int]) -> str:
     """Text that two molecules share exactly if they have the same labelled graph: canonical vertices and bonds.
 
     It isn't a SMILES: labels in canonical order, then bonds as ``a-b:label`` in order.
     """
-    g = regular_graph(m)
     by = sorted(range(len(rank)), key=lambda v: rank[v])
     bonds = sorted((min(rank[a], rank[b]), max(rank[a], rank[b]), k) for a, b, k in zip(g[1], g[2], g[3]))
     return ".".join(str(g[0][v]) for v in by) + "|" + ",".join(f"{a}-{b}:{k}" for a, b, k in bonds)
 
 
-def canonical_keys(molecules: list[Molecule]) -> list[str]:
-    """Keys of many molecules; equal for all writings of one labelled graph (bond labels count)."""
-    graphs = [regular_graph(m) for m in molecules]
+def canonical_keys(molecules: list[Molecule], identity: bool = True) -> list[str]:
+    """Keys of many molecules, equal for all writings of one molecule: atoms with charge, isotope and hydrogens, and bonds.
+
+    Without ``identity`` only elements, aromatic marks and bonds count. Marks of stereo never do.
+    """
+    graphs = [(_identity(m), m.begin, m.end, m.bond) if identity else regular_graph(m) for m in molecules]
     b = canon.GraphBatch(graphs)
-    return [canonical_key(m, r.tolist()) for m, r in zip(molecules, canon.ranks(b))] if molecules else []
+    return [canonical_key(g, r.tolist()) for g, r in zip(graphs, canon.ranks(b))] if molecules else []
 
 
 _ADDED = "canonical string, n_atoms int, n_bonds int, mol_weight double, atoms array<int>, bonds array<struct<a:int,b:int,label:int>>, reduced string"
@@ -117,11 +121,14 @@ _ARROW = [
 ]
 
 
-def with_molecules(df: DataFrame, smiles: str = "smiles") -> DataFrame:
+def with_molecules(df: DataFrame, smiles: str = "smiles", aromatic: str = "written", identity: bool = True) -> DataFrame:
     """Adds canonical key, counts, weight, atoms, bonds and the reduced graph's text; all NULL for unreadable text.
 
-    Other columns pass through; columns of the added names are replaced.
+    ``aromatic`` says whether rings are taken as ``written`` or ``perceived`` (see ``functions.aromatic``), so that both
+    writings of a ring are one; ``identity`` as in ``canonical_keys``. Other columns pass through; columns of the added names are replaced.
     """
+    if aromatic not in ("written", "perceived"):
+        raise ValueError("aromatic is written or perceived")
     added = [n for n, _ in _ARROW]
     df = df.drop(*[c for c in df.columns if c in added and c != smiles])
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], _ADDED])
@@ -133,8 +140,9 @@ def with_molecules(df: DataFrame, smiles: str = "smiles") -> DataFrame:
             for lo in range(0, whole.num_rows, 2000):
                 b = whole.slice(lo, 2000)
                 mols = [parse_molblock(x) if block else parse(x) for x in b.column(at).to_pylist()]
-                good = [m for m in mols if m is not None]
-                keys = iter(canonical_keys(good))
+                if aromatic == "perceived":
+                    mols = [m and perceive(m) for m in mols]
+                keys = iter(canonical_keys([m for m in mols if m is not None], identity))
                 rows: dict[str, list] = {n: [] for n in added}
                 for m in mols:
                     if m is None:

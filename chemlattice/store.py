@@ -1,11 +1,17 @@
 """A store of molecules in Parquet: create, insert, add fingerprints, look up and search.
 
 Layout under the store's folder (on a cluster a folder that all executors
-share): ``molecules/batch=<n>`` with a row for each molecule and
-``fingerprints/fp_name=<name>/batch=<n>`` with its words. An insert writes its
-fingerprints first and its molecules last; only batches of which the
-molecules are there count, so an insert that broke off leaves nothing behind
-that a reader sees, and can be repeated.
+share): ``molecules/batch=<n>`` with a row for each molecule, ``keys/batch=<n>``
+with hashes of its key, and ``fingerprints/fp_name=<name>/gen=<g>/batch=<n>``
+with its words. An insert writes ``log/batch=<n>`` last, and only batches with a
+complete log count, so an insert that broke off leaves nothing behind that a
+reader sees, and can be repeated. The catalog is kept in versions of which the
+greatest complete one counts; a fingerprint that is made again gets a new
+generation. No file that a reader may have open is ever overwritten.
+
+Rings are taken as perceived (``functions.aromatic``), unless the store is
+opened with ``aromatic="written"``. Two molecules are the same if elements,
+charges, isotopes, hydrogens and bonds agree; marks of stereo don't count.
 """
 
 from __future__ import annotations
@@ -17,23 +23,25 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chemlattice.functions.bits import contains, literals, popcount, tanimoto, words
+from chemlattice.functions.aromatic import perceive
+from chemlattice.functions.bits import popcount, words
 from chemlattice.functions.fingerprints import REGISTRY, available_fingerprints, fingerprint_words, partition_name
-from chemlattice.functions.graphs import graph_of
-from chemlattice.functions.smiles import parse
-from chemlattice.operators import substructure
-from chemlattice.operators.search import popcount_band
+from chemlattice.functions.graphs import Graph, regular_graph
+from chemlattice.functions.smiles import Molecule, parse
+from chemlattice.operators import search, substructure
 from chemlattice.operators.stats import readable_bytes
-from chemlattice.session import stage
+from chemlattice.session import drop_staged, exists, spread, stage
 from chemlattice.sources.molecules import canonical_keys, numbered, read_molecules, with_molecules
 
 log = logging.getLogger("chemlattice")
 
+FEW_KEYS = 1_000_000  # keys of a batch, 16 bytes each, that are sent to the store's keys instead of shuffling those
+
 _MOLECULES = (
     "mol_id long, smiles string, title string, canonical string, n_atoms int, n_bonds int, mol_weight double, atoms array<int>, "
     "bonds array<struct<a:int,b:int,label:int>>, reduced string, batch int"
 )
-_FINGERPRINTS = "mol_id long, n_bits int, words array<long>, bits int, fp_name string, batch int"
+_FINGERPRINTS = "mol_id long, n_bits int, words array<long>, bits int, fp_name string, gen int, batch int"
 
 
 class RecordingHandler(logging.Handler):
@@ -60,9 +68,9 @@ class RecordingHandler(logging.Handler):
 class MoleculeStore:
     """A handle on a store; methods that read raise ``FileNotFoundError`` where there is none."""
 
-    def __init__(self, spark: SparkSession, path: str, columns: dict | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str, columns: dict | None = None, aromatic: str = "perceived") -> None:
         """``columns`` are further columns by name: functions from the molecule table to a Column."""
-        self.spark, self.path, self.columns = spark, path.rstrip("/"), columns or {}
+        self.spark, self.path, self.columns, self.aromatic = spark, path.rstrip("/"), columns or {}, aromatic
 
     # Files, through Hadoop's file system so that any shared storage will do
 
@@ -72,8 +80,7 @@ class MoleculeStore:
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _exists(self, name: str) -> bool:
-        p, fs = self._fs(name)
-        return fs.exists(p)
+        return exists(self.spark, f"{self.path}/{name}")
 
     def _names(self, name: str) -> list[str]:
         p, fs = self._fs(name)
@@ -83,10 +90,16 @@ class MoleculeStore:
         p, fs = self._fs(name)
         return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
 
-    def _write_catalog(self, names: list[str]) -> None:
-        rows = [(i, n, REGISTRY[n].n_bits, REGISTRY[n].screen_safe) for i, n in enumerate(names)]
-        df = self.spark.createDataFrame(rows, "position int, fp_name string, n_bits int, screen_safe boolean")
-        df.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/catalog")
+    def _versions(self) -> list[int]:
+        return sorted(int(n.split("=")[1]) for n in self._names("catalog") if self._exists(f"catalog/{n}/_SUCCESS"))
+
+    def _write_catalog(self, generations: dict[str, int]) -> None:
+        rows = [(i, n, REGISTRY[n].n_bits, REGISTRY[n].screen_safe, g) for i, (n, g) in enumerate(generations.items())]
+        df = self.spark.createDataFrame(rows, "position int, fp_name string, n_bits int, screen_safe boolean, gen int")
+        df.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/catalog/v={max(self._versions(), default=0) + 1}")
+
+    def _generations(self) -> dict[str, int]:
+        return {r["fp_name"]: r["gen"] for r in self.catalog().collect()}
 
     # Definition
 
@@ -95,18 +108,18 @@ class MoleculeStore:
         for n in names:
             if n not in REGISTRY:
                 raise ValueError(f"unknown fingerprint {n}; there are {', '.join(REGISTRY)}")
-        if self._exists("catalog"):
+        if self.is_loaded:
             raise FileExistsError(f"there is a store at {self.path}")
-        self._write_catalog(names)
+        self._write_catalog(dict.fromkeys(names, 0))
 
     @property
     def is_loaded(self) -> bool:
-        return self._exists("catalog")
+        return bool(self._versions())
 
     def catalog(self) -> DataFrame:
         if not self.is_loaded:
             raise FileNotFoundError(f"no store at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/catalog").orderBy("position")
+        return self.spark.read.parquet(f"{self.path}/catalog/v={self._versions()[-1]}").orderBy("position")
 
     def fingerprints(self) -> list[str]:
         return [r["fp_name"] for r in self.catalog().collect()]
@@ -116,8 +129,18 @@ class MoleculeStore:
     # Contents
 
     def _batches(self) -> list[int]:
-        done = [n for n in self._names("molecules") if n.startswith("batch=") and self._exists(f"molecules/{n}/_SUCCESS")]
-        return sorted(int(n.split("=")[1]) for n in done)
+        return sorted(int(n.split("=")[1]) for n in self._names("log") if self._exists(f"log/{n}/_SUCCESS"))
+
+    def log(self) -> DataFrame:
+        """``batch, n_read, n_inserted, next_id`` of each insert."""
+        self.catalog()
+        b = self._batches()
+        schema = "n_read long, n_inserted long, next_id long, batch int"
+        return self.spark.read.option("basePath", f"{self.path}/log").schema(schema).parquet(*[f"{self.path}/log/batch={n}" for n in b]) if b else self.spark.createDataFrame([], schema)
+
+    def _keys(self) -> DataFrame | None:
+        paths = [f"{self.path}/keys/batch={n}" for n in self._batches()]
+        return self.spark.read.schema("k1 long, k2 long").parquet(*paths) if paths else None
 
     def molecules(self) -> DataFrame:
         self.catalog()
@@ -129,14 +152,14 @@ class MoleculeStore:
 
     def fingerprint_table(self, names: list[str] | None = None) -> DataFrame:
         """``mol_id, fp_name, n_bits, words, bits`` of the named kinds; other kinds' files are not read."""
-        own = self.fingerprints()
+        own = self._generations()
         for n in names or []:
             if n not in own:
                 raise ValueError(f"the store has no fingerprint {n}")
-        paths = [f"{self.path}/fingerprints/fp_name={partition_name(n)}/batch={b}" for n in names or own for b in self._batches()]
+        paths = [f"{self.path}/fingerprints/fp_name={partition_name(n)}/gen={own[n]}/batch={b}" for n in names or own for b in self._batches()]
         if not paths:
-            return self.spark.createDataFrame([], _FINGERPRINTS).drop("batch")
-        return self.spark.read.option("basePath", f"{self.path}/fingerprints").schema(_FINGERPRINTS).parquet(*paths).drop("batch")
+            return self.spark.createDataFrame([], _FINGERPRINTS).drop("batch", "gen")
+        return self.spark.read.option("basePath", f"{self.path}/fingerprints").schema(_FINGERPRINTS).parquet(*paths).drop("batch", "gen")
 
     def count(self) -> int:
         return self.molecules().count() if self.is_loaded else 0
@@ -164,66 +187,76 @@ class MoleculeStore:
         With ``unique`` a key that the store or an earlier row has is left out: the first one wins. Unreadable rows are
         never inserted. Ids go on from the greatest one in the store, in the order of the input.
         """
-        names = self.fingerprints()
-        held = self.molecules()
-        done = self._batches()
-        batch = done[-1] + 1 if done else 0
-        top = held.agg(F.max("mol_id")).first()[0]
-        start = 0 if top is None else top + 1
-        read = stage(with_molecules(rows.select("position", "smiles", "title")).where("canonical is not null"), "insert")
+        names = self._generations()
+        logged = self.log().orderBy(F.desc("batch")).first()
+        batch, start = (logged["batch"] + 1, logged["next_id"]) if logged else (0, 0)
+        parsed = with_molecules(spread(rows.select("position", "smiles", "title")), aromatic=self.aromatic).where("canonical is not null")
+        read = stage(parsed.withColumn("k1", F.xxhash64("canonical")).withColumn("k2", F.xxhash64(F.lit(7), "canonical")), "insert")
         n_read = read.count()
-        new = read
+        keep = read.select("k1", "k2", "position")  # what is shuffled is narrow
         if unique:
-            first = Window.partitionBy("canonical").orderBy("position")
-            new = read.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").join(held.select("canonical").distinct(), "canonical", "left_anti")
-        new = stage(new, "insert")
-        ordered = new.select("position").repartitionByRange("position").sortWithinPartitions("position")
+            keep = keep.groupBy("k1", "k2").agg(F.min("position").alias("position"))
+            held = self._keys()
+            if held is not None:
+                asked = keep.select("k1", "k2")
+                known = held.join(F.broadcast(asked) if n_read <= FEW_KEYS else asked, ["k1", "k2"], "left_semi").distinct()
+                keep = keep.join(known, ["k1", "k2"], "left_anti")
+        ordered = keep.select("position").repartitionByRange("position").sortWithinPartitions("position")
         ids = numbered(ordered, "_n", keep=True).select("position", (F.col("_n") + start).alias("mol_id"))
-        new = stage(new.join(ids, "position").drop("position"), "insert")
+        new = stage(read.join(ids, "position").drop("position"), "insert")
         n_new = new.count()
         self._write_fingerprints(new, names, batch)
         columns = [c.split(" ")[0] for c in _MOLECULES.split(", ") if c.split(" ")[0] != "batch"]
         new.select(*columns).sort("canonical").write.mode("overwrite").parquet(f"{self.path}/molecules/batch={batch}")
+        new.select("k1", "k2").sort("k1").write.mode("overwrite").parquet(f"{self.path}/keys/batch={batch}")
+        done = self.spark.createDataFrame([(n_read, n_new, start + n_new)], "n_read long, n_inserted long, next_id long")
+        done.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/batch={batch}")
+        for x in (read, new):
+            drop_staged(self.spark, x)
         log.info("read %d, inserted %d", n_read, n_new)
         return n_read, n_new
 
-    def _write_fingerprints(self, molecules: DataFrame, names: list[str], batch: int) -> None:
+    def _write_fingerprints(self, molecules: DataFrame, generations: dict[str, int], batch: int) -> None:
         """Words of each kind, sorted by bit count so that files' statistics serve the size bounds."""
-        if not names:
+        if not generations:
             return
-        fps = stage(substructure.with_fingerprints(molecules.select("mol_id", "atoms", "bonds"), names), "fps")
-        for n in names:
+        fps = stage(substructure.with_fingerprints(molecules.select("mol_id", "atoms", "bonds"), list(generations)), "fps")
+        for n, g in generations.items():
             k = REGISTRY[n].n_bits
             part = fps.select("mol_id", F.lit(k).alias("n_bits"), F.col(f"fp_{n}").alias("words"), popcount(words(f"fp_{n}", k)).alias("bits"))
-            part.sort("bits").write.mode("overwrite").parquet(f"{self.path}/fingerprints/fp_name={partition_name(n)}/batch={batch}")
+            part.sort("bits", "words").write.mode("overwrite").parquet(f"{self.path}/fingerprints/fp_name={partition_name(n)}/gen={g}/batch={batch}")
+        drop_staged(self.spark, fps)
 
     def add_fingerprint(self, name: str) -> None:
-        """Works out one kind over all molecules; a kind that is there is made again."""
+        """Works out one kind over all molecules; a kind that is there is made again, in a new generation."""
         if name not in REGISTRY:
             raise ValueError(f"unknown fingerprint {name}; there are {', '.join(REGISTRY)}")
+        generations = self._generations()
         held = self.molecules()
+        new = generations.get(name, -1) + 1
         for b in self._batches():
-            self._write_fingerprints(held.where(F.col("batch") == b), [name], b)
-        names = self.fingerprints()
-        if name not in names:
-            self._write_catalog([*names, name])
+            self._write_fingerprints(held.where(F.col("batch") == b), {name: new}, b)
+        self._write_catalog(generations | {name: new})
 
     # Search
 
-    def _query(self, smiles: str):
-        g = graph_of(smiles)
-        if g is None:
-            raise ValueError(f"not a readable molecule: {smiles!r}")
-        return g
-
-    def exact(self, smiles: str, last: bool = False) -> DataFrame:
-        """``mol_id`` of the molecules with the same labelled graph; all of them, or only the last one."""
+    def _molecule(self, smiles: str) -> Molecule:
         m = parse(smiles)
         if m is None:
             raise ValueError(f"not a readable molecule: {smiles!r}")
-        hits = self.molecules().where(F.col("canonical") == canonical_keys([m])[0]).select("mol_id")
+        return perceive(m) if self.aromatic == "perceived" else m
+
+    def _query(self, smiles: str) -> Graph:
+        return regular_graph(self._molecule(smiles))
+
+    def exact(self, smiles: str, last: bool = False) -> DataFrame:
+        """``mol_id`` of the same molecule, however written; all of them, or only the last one."""
+        hits = self.molecules().where(F.col("canonical") == canonical_keys([self._molecule(smiles)])[0]).select("mol_id")
         return hits.agg(F.max("mol_id").alias("mol_id")).where("mol_id is not null") if last else hits.orderBy("mol_id")
 
+    def _of_kind(self, g: Graph, n: str) -> tuple[DataFrame, search.Query]:
+        return self.fingerprint_table([n]).withColumnRenamed("words", "fingerprint"), search.Query(fingerprint_words(n, g), REGISTRY[n].n_bits, n)
+
     def screen(self, smiles: str, fingerprints: str | list[str], limit: int = 0) -> DataFrame:
         """Molecules that have all bits of the query in each of the named fingerprints. An unknown name: a warning, no hits."""
         names = [fingerprints] if isinstance(fingerprints, str) else fingerprints
@@ -234,10 +267,7 @@ class MoleculeStore:
             if n not in own:
                 log.warning("the store has no fingerprint %s", n)
                 return self.spark.createDataFrame([], "mol_id long")
-            q = fingerprint_words(n, g)
-            w = words("words", REGISTRY[n].n_bits)
-            least = sum(bin(x & (2**64 - 1)).count("1") for x in q)
-            part = self.fingerprint_table([n]).where((F.col("bits") >= least) & contains(w, literals(q))).select("mol_id")
+            part = search.screen(*self._of_kind(g, n), counted="bits")
             hits = part if hits is None else hits.join(part, "mol_id", "left_semi")
         hits = hits.orderBy("mol_id")
         return hits.limit(limit) if limit else hits
@@ -248,19 +278,13 @@ class MoleculeStore:
         g = self._query(smiles)
         out = None
         for n in names:
-            q = fingerprint_words(n, g)
-            size = sum(bin(x & (2**64 - 1)).count("1") for x in q)
-            w = words("words", REGISTRY[n].n_bits)
-            rows = self.fingerprint_table([n]).where(popcount_band(F.col("bits"), size, t))
-            score = tanimoto(w, literals(q), F.col("bits"), size)
-            part = rows.select("mol_id", score.alias("score"), F.lit(n).alias("fp_name"))
-            part = part.where(F.col("score") > t if strict else F.col("score") >= t)
+            part = search.similar(*self._of_kind(g, n), t, strict, counted="bits").withColumn("fp_name", F.lit(n))
             out = part if out is None else out.unionByName(part)
         out = out.orderBy(F.desc("score"), "mol_id", "fp_name")
         return out.limit(limit) if limit else out
 
     def substructure(self, smiles: str, algorithm: str = "mono", limit: int = 0) -> DataFrame:
-        return substructure.match(self.molecules(), smiles, algorithm, limit)
+        return substructure.match(self.molecules(), self._query(smiles), algorithm, limit)
 
     def quick_substructure(self, smiles: str, fingerprints: str | list[str] | None = None, algorithm: str = "mono", limit: int = 0) -> DataFrame:
         """Screens first, tests what is left, and limits last."""
@@ -271,7 +295,7 @@ class MoleculeStore:
         rows = self.molecules()
         if names:
             rows = rows.join(self.screen(smiles, names), "mol_id", "left_semi")
-        return substructure.match(rows, smiles, algorithm, limit)
+        return substructure.match(rows, self._query(smiles), algorithm, limit)
 
 
 # Functions for scripts, on one open store
@@ -294,8 +318,9 @@ def exact_structure_search(smiles: str) -> int | None:
     return r["mol_id"] if r else INVALID_INDEX
 
 
-def similarity_search(smiles: str, t: float) -> list[tuple[int, float]]:
-    return [(r["mol_id"], r["score"]) for r in _open["store"].similar(smiles, t).toLocalIterator()]
+def similarity_search(smiles: str, t: float, limit: int = 100_000) -> list[tuple[int, float]]:
+    """The best hits as a list, at most ``limit``; all of them, at any number, are what ``MoleculeStore.similar`` gives."""
+    return [(r["mol_id"], r["score"]) for r in _open["store"].similar(smiles, t, limit=limit).collect()]
 
 
 def errors() -> str:
