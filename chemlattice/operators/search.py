@@ -138,11 +138,11 @@ def screen(table: DataFrame, q: Query, strategy: str = "popcount", limit: int =
     return hits.orderBy("mol_id").limit(limit) if limit else hits
 
 
-def screen_all(table: DataFrame, queries: Sequence[Query], strategy: str = "popcount", limit: int = 0) -> DataFrame:
+def screen_all(table: DataFrame, queries: Sequence[Query], strategy: str = "popcount", limit: int = 0, counted: str | None = None) -> DataFrame:
     """Molecules that pass the screen of each of several kinds of fingerprint: their intersection."""
     hits = None
     for q in queries:
-        own = screen(table, q, strategy)
+        own = screen(table, q, strategy, counted=counted)
         hits = own if hits is None else hits.join(own, "mol_id", "left_semi")
     if hits is None:
         raise ValueError("no query")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chemlattice import service
 from chemlattice.functions.fingerprints import PATTERNS, REGISTRY
+from chemlattice.functions.smiles import MASS
 from chemlattice.operators import search, stats, substructure
 from chemlattice.plans import smiles_sql as Q
 from chemlattice.session import prepared, stage, table, tasks_for
@@ -182,7 +183,7 @@ _RECORDS = "SELECT DISTINCT ON (rec_id) rec_id, smiles FROM smiles_batches WHERE
 MOL = f"{Q.parsed(ONCE, 'mol_id')}, {Q.directed('mol', 'mol_id')}"
 ATOM = f"{MOL}, {Q.atoms('mol', 'ends', 'mol_id')}"
 SHAPE = f"{ATOM}, {Q.colours('atom', 'ends', 'mol_id', 'label, h, q, iso', 'e.k')}"
-_REC = f"{Q.parsed(_RECORDS, 'rec_id', 'rec')}, {Q.directed('rec', 'rec_id', 'rends')}, {Q.atoms('rec', 'rends', 'rec_id', 'ratom')}, {Q.colours('ratom', 'rends', 'rec_id', 'label, h, q, iso', 'e.k', 'rshape')}"
+REC = f"{Q.parsed(_RECORDS, 'rec_id', 'rec')}, {Q.directed('rec', 'rec_id', 'rends')}, {Q.atoms('rec', 'rends', 'rec_id', 'ratom')}, {Q.colours('ratom', 'rends', 'rec_id', 'label, h, q, iso', 'e.k', 'rshape')}"
 _KEPT = f"""{MOL}, deg AS (SELECT mol_id, a, count(DISTINCT b) AS n FROM ends GROUP BY ALL), {Q.components('mol', 'ends', 'mol_id')},
     vertex AS (SELECT mol_id, part.a, root, coalesce(n, 0) AS n FROM part LEFT JOIN deg USING (mol_id, a)),
     whole AS (SELECT mol_id, root, count(*) FILTER (WHERE n > 2) AS many, count(*) FILTER (WHERE n = 2) AS twos, min(n) AS least, count(*) AS size, sum(n) // 2 AS edges FROM vertex GROUP BY ALL),
@@ -194,17 +195,17 @@ def query_cte(smiles: str, name: str = "qm") -> str:
     return Q.parsed(f"SELECT 1 AS query_id, '{smiles}' AS smiles", "query_id", name)
 
 
-def _found(smiles: str) -> str:
+def found(smiles: str) -> str:
     return f"WITH RECURSIVE {MOL}, {query_cte(smiles)}, {Q.matches('qm', 'mol', 'ends', 'query_id', 'mol_id')}"
 
 
 def pattern_bits(mol: str, ends: str, key: str, name: str) -> str:
     """CTE ``name`` of ``key, bit``: bits of the pattern dictionary, each set where a pattern lies in more places than its count."""
     names = {p: i for i, p in enumerate(dict.fromkeys(p for p, _ in PATTERNS))}
-    texts = "SELECT query_id, smiles FROM (VALUES " + ", ".join(f"({i}, '{p}')" for p, i in names.items()) + ") v(query_id, smiles)"
-    bits = "(VALUES " + ", ".join(f"({i}, {names[p]}, {c})" for i, (p, c) in enumerate(PATTERNS)) + ") b(bit, query_id, above)"
-    return f"""{Q.parsed(texts, 'query_id', f'{name}_p')}, {Q.matches(f'{name}_p', mol, ends, 'query_id', key, f'{name}_in')},
-        {name}_n AS MATERIALIZED (SELECT {key}, query_id, count(DISTINCT list_sort(map)) AS n FROM {name}_in GROUP BY ALL), {name} AS MATERIALIZED (SELECT {key}, bit FROM {name}_n JOIN {bits} USING (query_id) WHERE n > above)"""
+    texts = "SELECT pattern, smiles FROM (VALUES " + ", ".join(f"({i}, '{p}')" for p, i in names.items()) + ") v(pattern, smiles)"
+    bits = "(VALUES " + ", ".join(f"({i}, {names[p]}, {c})" for i, (p, c) in enumerate(PATTERNS)) + ") b(bit, pattern, above)"
+    return f"""{Q.parsed(texts, 'pattern', f'{name}_p')}, {Q.matches(f'{name}_p', mol, ends, 'pattern', key, f'{name}_in')},
+        {name}_n AS MATERIALIZED (SELECT {key}, pattern, count(DISTINCT list_sort(map)) AS n FROM {name}_in GROUP BY ALL), {name} AS MATERIALIZED (SELECT {key}, bit FROM {name}_n JOIN {bits} USING (pattern) WHERE n > above)"""
 
 
 def paths(most: int, label: str = "label") -> str:
@@ -227,9 +228,11 @@ _BONDS = "[code[i] for i in range(2, len(code), 2)]"
 _PATHS = f"WITH RECURSIVE {ATOM}, {paths(7)}"
 _PLAIN = "CASE label WHEN 128 THEN 6 WHEN 129 THEN 7 WHEN 130 THEN 8 WHEN 131 THEN 15 WHEN 132 THEN 16 ELSE label END"
 _SETS = "SELECT query_id, smiles FROM query_sets"
+_BITS = f"{Q.directed('qm', 'query_id', 'qends')}, {pattern_bits('mol', 'ends', 'mol_id', 'pb')}, {pattern_bits('qm', 'qends', 'query_id', 'qb')}"
+_MASSES = ", ".join(f"({z}, {m})" for z, m in MASS.items())
 _BATCH = f"{MOL}, {Q.parsed(_SETS, 'query_id', 'qm')}, {Q.matches('qm', 'mol', 'ends', 'query_id', 'mol_id')}"
 SQL: dict[str, str] = {
-    "molecules": f"""WITH {ATOM}, mass AS (SELECT * FROM (VALUES {", ".join(f"({z}, {m})" for z, m in __import__("chemlattice.functions.smiles", fromlist=["MASS"]).MASS.items())}) v(z, mass))
+    "molecules": f"""WITH {ATOM}, mass AS (SELECT * FROM (VALUES {_MASSES}) v(z, mass))
         SELECT mol_id, len(any_value(mol.z))::INTEGER AS n_atoms, len(any_value(mol.bonds))::INTEGER AS n_bonds,
             CASE WHEN count(*) = count(coalesce(nullif(atom.iso, 0), mass)) THEN round(sum(coalesce(nullif(atom.iso, 0), mass)::DOUBLE + atom.h * 1.008::DOUBLE), 4) END AS mol_weight
         FROM mol JOIN atom USING (mol_id) LEFT JOIN mass ON mass.z = atom.z WHERE ok GROUP BY mol_id""",
@@ -238,26 +241,34 @@ SQL: dict[str, str] = {
     "atom_histogram": f"WITH {MOL} SELECT len(z)::INTEGER AS n_atoms, count(*) AS n_molecules FROM mol WHERE ok GROUP BY 1",
     "degree_histogram": f"WITH {ATOM} SELECT degree::INTEGER AS degree, count(*) AS n_vertices FROM atom GROUP BY 1",
     "graph_counters": f"WITH RECURSIVE {_KEPT} SELECT count(*) AS n_graphs, sum(n_atoms)::BIGINT AS n_vertices, (SELECT sum(len(bonds))::BIGINT FROM mol WHERE ok) AS n_edges, sum(n_kept)::BIGINT AS n_kept, sum(n_atoms - n_kept)::BIGINT AS n_on_paths FROM kept",
-    "exact_structures": f"WITH {SHAPE}, {_REC} SELECT rec_id, min(mol_id) AS first_mol_id, max(mol_id) AS last_mol_id FROM rshape JOIN shape ON rshape.shape = shape.shape GROUP BY rec_id",
-    "structure_insert": f"WITH {SHAPE}, {_REC} SELECT min(rec_id) AS rec_id FROM rshape WHERE shape NOT IN (SELECT shape FROM shape) GROUP BY shape",
-    "substructure_full": f"{_found(PATTERN)} SELECT DISTINCT mol_id FROM found",
-    "substructure_quick": f"{_found(PATTERN)} SELECT DISTINCT mol_id FROM found",
-    "substructure_first": f"{_found(PATTERN)} SELECT DISTINCT mol_id FROM found ORDER BY mol_id LIMIT 10",
-    "substructure_induced": f"{_found(PATTERN)} SELECT DISTINCT mol_id FROM found JOIN mol USING (mol_id) WHERE len(list_filter(bonds, lambda x: list_contains(map, x.a) AND list_contains(map, x.b))) = n_bonds",
-    "substructure_joins": f"{_found(SMALL)} SELECT DISTINCT mol_id FROM found",
+    "exact_structures": f"WITH {SHAPE}, {REC} SELECT rec_id, min(mol_id) AS first_mol_id, max(mol_id) AS last_mol_id FROM rshape JOIN shape ON rshape.shape = shape.shape GROUP BY rec_id",
+    "structure_insert": f"WITH {SHAPE}, {REC} SELECT min(rec_id) AS rec_id FROM rshape WHERE shape NOT IN (SELECT shape FROM shape) GROUP BY shape",
+    "substructure_full": f"{found(PATTERN)} SELECT DISTINCT mol_id FROM found",
+    "substructure_quick": f"{found(PATTERN)} SELECT DISTINCT mol_id FROM found",
+    "substructure_first": f"{found(PATTERN)} SELECT DISTINCT mol_id FROM found ORDER BY mol_id LIMIT 10",
+    "substructure_induced": f"{found(PATTERN)} SELECT DISTINCT mol_id FROM found JOIN mol USING (mol_id) WHERE len(list_filter(bonds, lambda x: list_contains(map, x.a) AND list_contains(map, x.b))) = n_bonds",
+    "substructure_joins": f"{found(SMALL)} SELECT DISTINCT mol_id FROM found",
     "substructure_batch": f"WITH RECURSIVE {_BATCH} SELECT DISTINCT query_id, mol_id FROM found",
     "path_fingerprints": f"{_PATHS} {_as_text(f'SELECT DISTINCT mol_id, {_bit(_ONE_WAY, 1024)} AS bit FROM (SELECT DISTINCT mol_id, code FROM path)')}",
     "pattern_fingerprints": f"WITH RECURSIVE {MOL}, {pattern_bits('mol', 'ends', 'mol_id', 'pb')} {_as_text('SELECT * FROM pb')}",
     "torsion_fingerprints": f"""WITH RECURSIVE {ATOM}, {paths(4)}, deg AS (SELECT mol_id, a, degree FROM atom), four AS (SELECT p.mol_id, [l[1].label, l[1].degree, l[2].label, l[2].degree, l[3].label, l[3].degree, l[4].label, l[4].degree] AS f, [l[4].label, l[4].degree, l[3].label, l[3].degree, l[2].label, l[2].degree, l[1].label, l[1].degree] AS r
         FROM (SELECT p.mol_id, p.map, list({{'label': atom.label, 'degree': atom.degree}} ORDER BY list_position(p.map, atom.a)) AS l FROM path p JOIN atom ON atom.mol_id = p.mol_id AND list_contains(p.map, atom.a) WHERE len(p.map) = 4 GROUP BY ALL) p)
         {_as_text(f"SELECT DISTINCT mol_id, {_bit('least(f, r)', 1024)} AS bit FROM four")}""",
-    "atom_pair_fingerprints": f"""WITH RECURSIVE {ATOM}, far AS (SELECT mol_id, a, a AS b, 0 AS dist FROM atom UNION SELECT f.mol_id, f.a, e.b, f.dist + 1 FROM far f JOIN ends e ON e.mol_id = f.mol_id AND e.a = f.b WHERE f.dist < 80 AND NOT EXISTS (SELECT 1 FROM recurring.far o WHERE o.mol_id = f.mol_id AND o.a = f.a AND o.b = e.b))
-        SELECT 1""",
+    "atom_pair_fingerprints": f"""WITH RECURSIVE {ATOM}, near AS (SELECT mol_id, a, list(DISTINCT b) AS bs FROM ends GROUP BY ALL), adj AS MATERIALIZED (SELECT mol_id, list(coalesce(bs, []) ORDER BY atom.a) AS bs FROM atom LEFT JOIN near USING (mol_id, a) GROUP BY mol_id),
+        far AS (SELECT mol_id, a, [a] AS seen, [a] AS front, 0 AS dist FROM atom UNION ALL SELECT mol_id, a, seen || ahead, ahead, dist + 1 FROM (
+            SELECT far.*, list_filter(list_distinct(flatten([bs[x + 1] for x in front])), lambda x: NOT list_contains(seen, x)) AS ahead FROM far JOIN adj USING (mol_id)) WHERE len(ahead) > 0),
+        met AS (SELECT mol_id, a, unnest(front) AS b, dist FROM far), two AS (SELECT m.mol_id, [x.label, x.degree] AS x, [y.label, y.degree] AS y, dist FROM met m JOIN atom x ON x.mol_id = m.mol_id AND x.a = m.a JOIN atom y ON y.mol_id = m.mol_id AND y.a = m.b WHERE m.a < m.b)
+        {_as_text(f"SELECT DISTINCT mol_id, {_bit('(least(x, y) || greatest(x, y) || [dist])', 1024)} AS bit FROM two")}""",
     "layered_fingerprints": f"""{_PATHS}, c AS (SELECT DISTINCT mol_id, code FROM path), layers AS (SELECT mol_id, [1, (len(code) + 1) // 2] AS l FROM c UNION SELECT mol_id, [2] || least({_BONDS}, list_reverse({_BONDS})) FROM c UNION SELECT mol_id, [3] || {_ONE_WAY} FROM c)
         {_as_text(f"SELECT DISTINCT mol_id, {_bit('l', 2048)} AS bit FROM layers")}""",
     "topological_fingerprints": f"""WITH RECURSIVE {ATOM}, {paths(7, _PLAIN)}, c AS (SELECT DISTINCT mol_id, {_ONE_WAY} AS code FROM path WHERE len(map) > 1), salted AS (SELECT mol_id, [4] || code AS l FROM c UNION SELECT mol_id, [5] || code FROM c)
         {_as_text(f"SELECT DISTINCT mol_id, {_bit('l', 2048)} AS bit FROM salted")}""",
-    "screen_efficiency": f"""WITH RECURSIVE {_BATCH}, {Q.directed('qm', 'query_id', 'qends')}, {pattern_bits('mol', 'ends', 'mol_id', 'pb')}, {pattern_bits('qm', 'qends', 'qid', 'qb').replace('qid', 'q_id') if False else ''}
-        SELECT 1""",
+    "screen_efficiency": f"""WITH RECURSIVE {_BATCH}, {_BITS}, need AS (SELECT query_id, count(bit) AS n FROM (SELECT query_id FROM qm WHERE ok) LEFT JOIN qb USING (query_id) GROUP BY ALL),
+        screened AS (SELECT query_id, mol_id FROM qb JOIN pb USING (bit) JOIN need USING (query_id) GROUP BY query_id, mol_id, n HAVING count(*) = n UNION ALL SELECT query_id, mol_id FROM need, mol WHERE n = 0 AND ok),
+        verified AS (SELECT DISTINCT query_id, mol_id, 1 AS one FROM found)
+        SELECT query_id, count(*) AS n_screened, count(one) AS n_verified, 1 - count(one) / count(*) AS false_share FROM screened LEFT JOIN verified USING (query_id, mol_id) GROUP BY query_id""",
+    "service_answers": f"""WITH RECURSIVE {Q.parsed(_SETS, 'query_id', 'qm')}, {Q.directed('qm', 'query_id', 'qends')}, {pattern_bits('qm', 'qends', 'query_id', 'qb')}, own AS (SELECT query_id, list(bit) AS bits FROM qb GROUP BY ALL)
+        SELECT 'FINGERPRINT Pattern ' || smiles AS value, CASE WHEN smiles IS NULL THEN NULL WHEN NOT coalesce(ok, false) THEN 'ERROR Could not read smiles'
+            ELSE 'FINGERPRINT ' || array_to_string([CASE WHEN list_contains(coalesce(bits, []), {len(PATTERNS) - 1} - i) THEN '1' ELSE '0' END for i in range({len(PATTERNS)})], '') END AS answer FROM query_sets LEFT JOIN qm USING (query_id) LEFT JOIN own USING (query_id)""",
     "aromatic_writings": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(s).lower()})" for i, (_, _, s) in enumerate(_WRITINGS)) + ") v(pair, same)",
 }

@@ -10,116 +10,135 @@ from pyspark.sql import functions as F
 from chemlattice.functions import bits as B
 from chemlattice.operators import search as S
 from chemlattice.operators import stats
-from chemlattice.session import shared_dir, stage, table
+from chemlattice.session import prepared, shared_dir, table
 from chemlattice.streaming import ingest
 
 EVERY = 20  # queries of a batch search: rows whose id is divisible by this
 
 
+KINDS = {"Path": 1024, "Keys": 192}
+
+
 def _fp(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "fingerprint_index")
 
 
-def _lowest(t: DataFrame, *kinds: str) -> int | None:
-    """The lowest id that has a fingerprint of each kind."""
-    ids = None
-    for k in kinds:
-        own = S.of_kind(t, k).select("mol_id")
-        ids = own if ids is None else ids.join(own, "mol_id", "left_semi")
-    return ids.agg(F.min("mol_id")).first()[0]
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    """The fingerprints with their true bit counts ``n``, sorted by them; built once for all queries of an application."""
+
+    def make(path: str) -> None:
+        for kind, width in KINDS.items():
+            S.indexed(_fp(spark, d), kind, width).drop("fp_name").write.parquet(f"{path}/fp_name={kind}")
+
+    path = prepared(spark, d, "fingerprint_index", "fingerprints", make)
+    return spark.read.schema("mol_id long, fingerprint array<long>, n int, fp_name string").parquet(path)
 
 
 def _one(t: DataFrame, *kinds: str) -> list[S.Query]:
-    """The fingerprints of that molecule."""
-    m = _lowest(t, *kinds)
-    width = {"Path": 1024, "Keys": 192}
-    return [S.query_of(t, m, k) or S.Query([], width[k], k) for k in kinds]
+    """The fingerprints of the lowest id that has one of each kind."""
+    held = t.where(F.col("fp_name").isin(*kinds)).groupBy("mol_id").agg(F.map_from_entries(F.collect_list(F.struct("fp_name", "fingerprint"))).alias("by"))  # a few kinds each
+    r = held.where(F.size("by") == len(kinds)).orderBy("mol_id").first() if len(kinds) > 1 else t.where(F.col("fp_name") == kinds[0]).orderBy("mol_id").select("mol_id", F.create_map("fp_name", "fingerprint").alias("by")).first()
+    return [S.Query(list(r["by"][k]) if r else [], KINDS[k], k) for k in kinds]
 
 
-def _part(t: DataFrame, *kinds: str) -> list[S.Query]:
-    """A smaller query: for each kind every third set bit of that molecule."""
-    return [S.Query(B.host_words(q.bits[::3][:4], q.n_bits), q.n_bits, q.fp_name) for q in _one(t, *kinds)]
+def _part(t: DataFrame, *kinds: str, most: int = 4) -> list[S.Query]:
+    """A smaller query: for each kind every third set bit of that molecule, the first ``most`` of them."""
+    return [S.Query(B.host_words(q.bits[::3][:most], q.n_bits), q.n_bits, q.fp_name) for q in _one(t, *kinds)]
 
 
 def similarity_search(spark, d):
-    t = _fp(spark, d)
-    return S.similar(t, _one(t, "Path")[0], 0.3)
+    t = _index(spark, d)
+    return S.similar(t, _one(t, "Path")[0], 0.3, counted="n")
 
 
 def similarity_brute(spark, d):
+    """Without index or bounds: what the other plans are measured against."""
     t = _fp(spark, d)
-    return S.similar(t, _one(t, "Path")[0], 0.3, strategy="brute")
+    return S.similar(t, _one(S.of_kind(t, "Path"), "Path")[0], 0.3, strategy="brute")
+
+
+def similarity_close(spark, d):
+    """A high threshold, for which the bounds leave few row groups."""
+    t = _index(spark, d)
+    return S.similar(t, _one(t, "Path")[0], 0.7, counted="n")
 
 
 def similarity_segments(spark, d):
-    t = _fp(spark, d)
-    return S.similar(t, _one(t, "Path")[0], 0.3, strategy="segments")
+    t = _index(spark, d)
+    return S.similar(t, _one(t, "Path")[0], 0.3, strategy="segments", counted="n")
 
 
 def similarity_strict(spark, d):
-    t = _fp(spark, d)
-    return S.similar(t, _one(t, "Path")[0], 0.25, strict=True, strategy="mixed")
+    t = _index(spark, d)
+    return S.similar(t, _one(t, "Path")[0], 0.25, strict=True, strategy="mixed", counted="n")
 
 
 def similarity_top(spark, d):
-    t = _fp(spark, d)
-    return S.similar(t, _one(t, "Path")[0], 0.0, top=25)
+    t = _index(spark, d)
+    return S.similar(t, _one(t, "Path")[0], 0.0, top=25, counted="n")
 
 
 def similarity_first(spark, d):
-    t = _fp(spark, d)
-    return S.similar(t, _one(t, "Path")[0], 0.2, limit=10)
+    t = _index(spark, d)
+    return S.similar(t, _one(t, "Path")[0], 0.2, limit=10, counted="n")
 
 
 def similarity_union(spark, d):
-    t = _fp(spark, d)
-    return S.similar_any(t, _one(t, "Path", "Keys"), 0.25)
+    t = _index(spark, d)
+    return S.similar_any(t, _one(t, "Path", "Keys"), 0.25, counted="n")
 
 
 def similarity_any(spark, d):
-    t = _fp(spark, d)
-    return S.similar_any(t, _one(t, "Path", "Keys"), 0.25, combine="any")
+    t = _index(spark, d)
+    return S.similar_any(t, _one(t, "Path", "Keys"), 0.25, combine="any", counted="n")
 
 
 def similarity_all(spark, d):
-    t = _fp(spark, d)
-    return S.similar_any(t, _one(t, "Path", "Keys"), 0.15, combine="all")
+    t = _index(spark, d)
+    return S.similar_any(t, _one(t, "Path", "Keys"), 0.15, combine="all", counted="n")
 
 
 def _screen(strategy):
     def run(spark, d):
-        t = _fp(spark, d)
-        return S.screen(t, _part(t, "Path")[0], strategy)
+        t = _index(spark, d)
+        return S.screen(t, _part(t, "Path")[0], strategy, counted="n")
 
     return run
 
 
 def screen_first(spark, d):
-    t = _fp(spark, d)
-    return S.screen(t, _part(t, "Path")[0], limit=5)
+    t = _index(spark, d)
+    return S.screen(t, _part(t, "Path")[0], limit=5, counted="n")
 
 
 def screen_several(spark, d):
-    t = _fp(spark, d)
-    return S.screen_all(t, _part(t, "Path", "Keys"))
+    t = _index(spark, d)
+    return S.screen_all(t, _part(t, "Path", "Keys"), counted="n")
 
 
 def screen_postings(spark, d):
-    t = _fp(spark, d)
-    return S.screen_postings(t, stage(S.postings(t), "postings"), _part(t, "Path")[0])
+    """A query of more bits than the rare ones of which the lists are read."""
+    t = _index(spark, d)
+    lists = prepared(spark, d, "fingerprint_index", "postings", lambda p: S.postings(_fp(spark, d)).sort("bit").write.parquet(p))
+    return S.screen_postings(t, spark.read.schema("bit int, mol_id long").parquet(lists), _part(t, "Path", most=12)[0])
 
 
 def screen_signature(spark, d):
-    t = _fp(spark, d)
-    bits = S.splitting_bits(t, 6)
-    path = f"{shared_dir(spark)}/signed-{uuid.uuid4().hex}"
-    S.with_signature(S.of_kind(t, "Path").select("mol_id", "fp_name", "fingerprint"), bits).write.partitionBy("sig").parquet(path)
-    return S.screen_signature(spark.read.parquet(path), _part(t, "Path")[0], bits)
+    t = _index(spark, d)
+
+    def make(path: str) -> None:
+        bits = S.splitting_bits(_fp(spark, d), 6)
+        S.with_signature(t.where("fp_name = 'Path'"), bits).write.partitionBy("sig").parquet(f"{path}/rows")
+        spark.createDataFrame([(i, b) for i, b in enumerate(bits)], "at int, bit int").coalesce(1).write.parquet(f"{path}/bits")
+
+    path = prepared(spark, d, "fingerprint_index", "signed", make)
+    bits = [r["bit"] for r in spark.read.parquet(f"{path}/bits").orderBy("at").collect()]
+    return S.screen_signature(spark.read.parquet(f"{path}/rows"), _part(t, "Path")[0], bits)
 
 
 def screen_unlike(spark, d):
     """Molecules that pass the screen and aren't similar: a difference of sets."""
-    t = _fp(spark, d)
+    t = _index(spark, d)
     return S.screen(t, _part(t, "Path")[0]).exceptAll(S.similar(t, _one(t, "Path")[0], 0.4).select("mol_id"))
 
 
@@ -128,12 +147,12 @@ def _queries(t: DataFrame) -> DataFrame:
 
 
 def similarity_batch(spark, d):
-    t = _fp(spark, d)
+    t = _index(spark, d)
     return S.similar_batch(t, _queries(t), 0.7)
 
 
 def screen_batch(spark, d):
-    t = _fp(spark, d)
+    t = _index(spark, d)
     return S.screen_batch(t, _queries(t))
 
 
@@ -168,26 +187,6 @@ def next_likeness(spark, d):
     return a.join(b, "mol_id").select("mol_id", score.alias("score"))
 
 
-def information(spark, d):
-    """Rows, molecules and bytes of words by kind of fingerprint."""
-    return (
-        _fp(spark, d)
-        .where("fingerprint is not null")
-        .groupBy("fp_name")
-        .agg(F.countDistinct("mol_id").alias("n_molecules"), F.max("n_bits").alias("n_bits"), F.sum(F.size("fingerprint").cast("long") * 8).alias("n_bytes"))
-    )
-
-
-def record_lookup(spark, d):
-    """One molecule's row: the one with the lowest id that has a fingerprint of both kinds."""
-    m = _lowest(_fp(spark, d), "Path", "Keys")
-    return table(spark, d, "smiles_index").where(F.col("mol_id") == m).select("mol_id", "smiles", "title").distinct()
-
-
-def record_count(spark, d):
-    return table(spark, d, "smiles_index").agg(F.countDistinct("mol_id").alias("n_records"), F.count("*").alias("n_rows"))
-
-
 def exact_keys(spark, d):
     """For each lookup the last molecule with its key, character by character, and how many there are."""
     asked = table(spark, d, "key_lookups").select("lookup_id", ingest.key_column("smiles").alias("key")).distinct()
@@ -200,18 +199,6 @@ def unique_insert(spark, d):
     return ingest.new_keys(table(spark, d, "smiles_batches"), table(spark, d, "smiles_index"), "rec_id")
 
 
-def insert_report(spark, d):
-    """Records read and inserted, by batch."""
-    read = table(spark, d, "smiles_batches").where(ingest.key_column("smiles").isNotNull()).select("batch_no", "rec_id").distinct()
-    new = unique_insert(spark, d).select("rec_id", F.lit(1).alias("new"))
-    return read.join(new, "rec_id", "left").groupBy("batch_no").agg(F.count("*").alias("n_read"), F.count("new").alias("n_inserted"))
-
-
-def last_of_key(spark, d):
-    """The last record of each key: what a lookup gives after an insert that keeps repeats."""
-    return table(spark, d, "smiles_index").select(ingest.key_column("smiles").alias("key"), "mol_id").where("key is not null").groupBy("key").agg(F.max("mol_id").alias("mol_id"))
-
-
 def running_totals(spark, d):
     """Records with a key, and characters of their keys, up to each record."""
     rows = table(spark, d, "smiles_index").select("mol_id", F.length(ingest.key_column("smiles")).cast("long").alias("size")).where("size is not null").distinct()
@@ -223,24 +210,21 @@ def by_size(spark, d):
     return stats.by_size(rows, "size", "line_pos")
 
 
-def lines_histogram(spark, d):
-    """Orders by their number of lines: a histogram of vertex counts over the orders as graphs."""
-    n = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
-    return n.groupBy("n_lines").agg(F.count("*").alias("n_orders"))
-
-
 def stream_ingest(spark, d):
     """The keys that a stream of the batches adds to the index."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    schema = table(spark, d, "smiles_batches").schema
-    # The table may be one file or a folder of files.
-    read = spark.readStream.schema(schema)
-    name = "smiles_batches.parquet"
-    stream = read.option("pathGlobFilter", name).parquet(d) if _is_file(spark, f"{d}/{name}") else read.parquet(f"{d}/{name}")
+    stream = file_stream(spark, d, "smiles_batches")
     ingest.ingest_stream(stream, table(spark, d, "smiles_index"), f"{base}/keys", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/keys").select("key")
 
 
+def file_stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream of its files; the table may be one file or a folder of files."""
+    read = spark.readStream.schema(table(spark, d, name).schema)
+    file = f"{name}.parquet"
+    return read.option("pathGlobFilter", file).parquet(d) if _is_file(spark, f"{d}/{file}") else read.parquet(f"{d}/{file}")
+
+
 def _is_file(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
@@ -249,9 +233,9 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 QUERIES = {
     f.__name__: f
     for f in (
-        similarity_search, similarity_brute, similarity_segments, similarity_strict, similarity_top, similarity_first, similarity_union, similarity_any, similarity_all,
+        similarity_search, similarity_brute, similarity_close, similarity_segments, similarity_strict, similarity_top, similarity_first, similarity_union, similarity_any, similarity_all,
         screen_first, screen_several, screen_postings, screen_signature, screen_unlike, similarity_batch, screen_batch, bit_counts, postings, segment_counts, stale_bits,
-        next_likeness, information, record_lookup, record_count, exact_keys, unique_insert, insert_report, last_of_key, running_totals, by_size, lines_histogram, stream_ingest,
+        next_likeness, exact_keys, unique_insert, running_totals, by_size, stream_ingest,
     )
 }
 QUERIES |= {f"screen_{s}": _screen(s) for s in S.STRATEGIES}
@@ -284,8 +268,8 @@ def _score(source: str, query: str, n: int) -> str:
     return f"SELECT mol_id, {_and('w', 'qw', n)} / nullif(CAST(n + qn - {_and('w', 'qw', n)} AS DOUBLE), 0) AS score FROM {source}, {query}"
 
 
-def _thinned(name: str, query: str, n_bits: int) -> str:
-    return f"{name} AS (SELECT bits[1:12:3] AS bits FROM (SELECT list_filter(range({n_bits}), lambda b: ((qw[b // 64 + 1] >> (b % 64)) & 1) = 1) AS bits FROM {query}))"
+def _thinned(name: str, query: str, n_bits: int, most: int = 4) -> str:
+    return f"{name} AS (SELECT bits[1:{3 * most}:3] AS bits FROM (SELECT list_filter(range({n_bits}), lambda b: ((qw[b // 64 + 1] >> (b % 64)) & 1) = 1) AS bits FROM {query}))"
 
 
 def _holds(source: str, query: str) -> str:
@@ -299,6 +283,7 @@ _THIN = f"WITH {_BASE}, {_thinned('tp', 'qp', 1024)}, h AS ({_holds('path', 'tp'
 SQL = {
     "similarity_search": f"{_SIM} SELECT * FROM s WHERE score >= 0.3",
     "similarity_brute": f"{_SIM} SELECT * FROM s WHERE score >= 0.3",
+    "similarity_close": f"{_SIM} SELECT * FROM s WHERE score >= 0.7",
     "similarity_segments": f"{_SIM} SELECT * FROM s WHERE score >= 0.3",
     "similarity_strict": f"{_SIM} SELECT * FROM s WHERE score > 0.25",
     "similarity_top": f"{_SIM} SELECT * FROM s WHERE score >= 0 ORDER BY score DESC, mol_id LIMIT 25",
@@ -321,21 +306,14 @@ SQL = {
         SELECT DISTINCT mol_id, fp_name, n AS counted FROM c JOIN fingerprint_index f USING (mol_id, fp_name) WHERE f.fingerprint IS NOT NULL AND f.bits IS DISTINCT FROM n""",
     "next_likeness": f"""WITH {_BASE}, j AS (SELECT a.mol_id, a.n AS na, b.n AS nb, {_and("a.w", "b.w", 16)} AS c FROM path a JOIN path b ON b.mol_id = a.mol_id + 1)
         SELECT mol_id, c / nullif(CAST(na + nb - c AS DOUBLE), 0) AS score FROM j""",
-    "information": "SELECT fp_name, count(DISTINCT mol_id) AS n_molecules, max(n_bits) AS n_bits, CAST(sum(len(fingerprint) * 8) AS BIGINT) AS n_bytes FROM fingerprint_index WHERE fingerprint IS NOT NULL GROUP BY fp_name",
-    "record_lookup": f"WITH {_BASE} SELECT DISTINCT mol_id, smiles, title FROM smiles_index WHERE mol_id = (SELECT m FROM both_id)",
-    "record_count": "SELECT count(DISTINCT mol_id) AS n_records, count(*) AS n_rows FROM smiles_index",
     "exact_keys": f"""WITH h AS (SELECT {_KEY} AS key, max(mol_id) AS mol_id, count(DISTINCT mol_id) AS n_molecules FROM smiles_index WHERE {_KEY} IS NOT NULL GROUP BY 1)
         SELECT DISTINCT lookup_id, mol_id, n_molecules FROM (SELECT lookup_id, {_KEY} AS key FROM key_lookups) JOIN h USING (key)""",
     "unique_insert": f"""SELECT key, min(rec_id) AS rec_id FROM (SELECT {_KEY} AS key, rec_id FROM smiles_batches) WHERE key IS NOT NULL
         AND key NOT IN (SELECT {_KEY} FROM smiles_index WHERE {_KEY} IS NOT NULL) GROUP BY key""",
-    "insert_report": f"""WITH r AS (SELECT DISTINCT batch_no, rec_id, {_KEY} AS key FROM smiles_batches WHERE {_KEY} IS NOT NULL),
-        n AS (SELECT min(rec_id) AS rec_id FROM r WHERE key NOT IN (SELECT {_KEY} FROM smiles_index WHERE {_KEY} IS NOT NULL) GROUP BY key)
-        SELECT batch_no, count(DISTINCT r.rec_id) AS n_read, count(DISTINCT n.rec_id) AS n_inserted FROM r LEFT JOIN n USING (rec_id) GROUP BY batch_no""",
-    "last_of_key": f"SELECT {_KEY} AS key, max(mol_id) AS mol_id FROM smiles_index WHERE {_KEY} IS NOT NULL GROUP BY 1",
     "running_totals": f"""WITH r AS (SELECT DISTINCT mol_id, CAST(length({_KEY}) AS BIGINT) AS size FROM smiles_index WHERE {_KEY} IS NOT NULL)
         SELECT mol_id, size, CAST(count(*) OVER w AS BIGINT) AS n_records, CAST(coalesce(sum(size) OVER w, 0) AS BIGINT) AS n_characters FROM r WINDOW w AS (ORDER BY mol_id RANGE UNBOUNDED PRECEDING)""",
     "by_size": f"SELECT size, count(*) AS n, CAST(sum(line_pos) AS BIGINT) AS total FROM (SELECT DISTINCT mol_id, CAST(length({_KEY}) AS INTEGER) AS size, line_pos FROM smiles_index WHERE {_KEY} IS NOT NULL AND line_pos IS NOT NULL) GROUP BY size",
-    "lines_histogram": "SELECT n_lines, count(*) AS n_orders FROM (SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY l_orderkey) GROUP BY n_lines",
     "stream_ingest": f"SELECT DISTINCT {_KEY} AS key FROM smiles_batches WHERE {_KEY} IS NOT NULL AND {_KEY} NOT IN (SELECT {_KEY} FROM smiles_index WHERE {_KEY} IS NOT NULL)",
 }
-SQL |= {f"screen_{s}": f"{_THIN} SELECT mol_id FROM h" for s in [*S.STRATEGIES, "postings", "signature"]}
+SQL |= {f"screen_{s}": f"{_THIN} SELECT mol_id FROM h" for s in [*S.STRATEGIES, "signature"]}
+SQL["screen_postings"] = f"WITH {_BASE}, {_thinned('tp', 'qp', 1024, 12)}, h AS ({_holds('path', 'tp')}) SELECT mol_id FROM h"

@@ -107,13 +107,15 @@ def matches(queries: str, mol: str, ends: str, query_id: str, key: str, name: st
     """CTEs, the last of them ``name`` with ``query_id, key, map, n_bonds``: each way in which a query of the CTE ``queries`` lies in a molecule.
 
     ``queries`` and ``mol`` come from ``parsed``. The atoms of a query are placed in text order, each beside an earlier one.
+    Only molecules that have each kind of bond of the query are tried.
     """
+    feats = "[(least(labels[x.a + 1], labels[x.b + 1]) * 1000 + greatest(labels[x.a + 1], labels[x.b + 1])) * 1000 + x.k for x in bonds]"
     return f"""
-    {name}_q AS MATERIALIZED (SELECT {query_id}, i, labels[i + 1] AS label, list_filter(bonds, lambda x: greatest(x.a, x.b) = i) AS back, len(labels) AS n, len(bonds) AS n_bonds
+    {name}_q AS MATERIALIZED (SELECT {query_id}, i, labels[i + 1] AS label, list_filter(bonds, lambda x: greatest(x.a, x.b) = i) AS back, len(labels) AS n, len(bonds) AS n_bonds, {feats} AS feats
         FROM (SELECT *, unnest(range(len(labels))) AS i FROM {queries} WHERE ok)),
     {name}_step AS MATERIALIZED (SELECT {query_id}, i, label, least(back[1].a, back[1].b) AS parent, back[1].k AS k, [{{'j': least(x.a, x.b), 'k': x.k}} for x in back[2:]] AS rest FROM {name}_q),
-    {name}_mol AS MATERIALIZED (SELECT {key}, labels, list_concat([(x.a * 1000 + x.b) * 1000 + x.k for x in bonds], [(x.b * 1000 + x.a) * 1000 + x.k for x in bonds]) AS keys FROM {mol} WHERE ok),
-    {name}_map AS (SELECT q.{query_id}, m.{key}, [a] AS map FROM {name}_q q, (SELECT {key}, unnest(range(len(labels)))::INTEGER AS a, unnest(labels) AS label FROM {name}_mol) m WHERE q.i = 0 AND q.label = m.label
+    {name}_mol AS MATERIALIZED (SELECT {key}, labels, list_concat([(x.a * 1000 + x.b) * 1000 + x.k for x in bonds], [(x.b * 1000 + x.a) * 1000 + x.k for x in bonds]) AS keys, {feats} AS feats FROM {mol} WHERE ok),
+    {name}_map AS (SELECT q.{query_id}, m.{key}, [a] AS map FROM {name}_q q, (SELECT {key}, feats, unnest(range(len(labels)))::INTEGER AS a, unnest(labels) AS label FROM {name}_mol) m WHERE q.i = 0 AND q.label = m.label AND list_has_all(m.feats, q.feats)
         UNION ALL SELECT p.{query_id}, p.{key}, list_append(p.map, e.b) FROM {name}_map p JOIN {name}_step s ON s.{query_id} = p.{query_id} AND s.i = len(p.map)
         JOIN {name}_mol m ON m.{key} = p.{key} JOIN {ends} e ON e.{key} = p.{key} AND e.a = p.map[s.parent + 1] AND e.k = s.k
         WHERE m.labels[e.b + 1] = s.label AND NOT list_contains(p.map, e.b) AND list_has_all(m.keys, [(p.map[x.j + 1] * 1000 + e.b) * 1000 + x.k for x in s.rest])),

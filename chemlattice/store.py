@@ -30,7 +30,7 @@ from chemlattice.functions.graphs import Graph, regular_graph
 from chemlattice.functions.smiles import Molecule, parse
 from chemlattice.operators import search, substructure
 from chemlattice.operators.stats import readable_bytes
-from chemlattice.session import drop_staged, exists, spread, stage
+from chemlattice.session import drop_staged, exists, spread, stage, tasks_for
 from chemlattice.sources.molecules import canonical_keys, numbered, read_molecules, with_molecules
 
 log = logging.getLogger("chemlattice")
@@ -203,7 +203,7 @@ class MoleculeStore:
                 keep = keep.join(known, ["k1", "k2"], "left_anti")
         ordered = keep.select("position").repartitionByRange("position").sortWithinPartitions("position")
         ids = numbered(ordered, "_n", keep=True).select("position", (F.col("_n") + start).alias("mol_id"))
-        new = stage(read.join(ids, "position").drop("position"), "insert")
+        new = stage(read.join(ids, "position").drop("position"), "insert", tasks_for(self.spark, n_read, 20_000))
         n_new = new.count()
         self._write_fingerprints(new, names, batch)
         columns = [c.split(" ")[0] for c in _MOLECULES.split(", ") if c.split(" ")[0] != "batch"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chemlattice.functions import bits as B
 from chemlattice.operators.search import Query
+from chemlattice.session import drop_staged, exists, stage
 
 
 def key_column(c: str) -> F.Column:
@@ -36,30 +37,62 @@ def new_keys(rows: DataFrame, known: DataFrame, order: str, text: str = "smiles"
 
 def first_in_time(stream: DataFrame, time: str, delay: str = "1 day", text: str = "smiles") -> DataFrame:
     """Each key once within the watermark: state is dropped when it is older than ``delay``, so it stays bounded."""
-    keyed = stream.withColumn("key", key_column(text)).where(F.col("key").isNotNull())
+    keyed = stream.withColumn(time, F.col(time).cast("timestamp")).withColumn("key", key_column(text)).where(F.col("key").isNotNull())
     return keyed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["key"])
 
 
 def arrivals(stream: DataFrame, time: str, every: str = "1 hour", delay: str = "1 hour", text: str = "smiles") -> DataFrame:
     """Records and different keys (approximately) in each span of time, with late records up to ``delay``."""
-    keyed = stream.withColumn("key", key_column(text)).withWatermark(time, delay)
+    keyed = stream.withColumn(time, F.col(time).cast("timestamp")).withColumn("key", key_column(text)).withWatermark(time, delay)
     return keyed.groupBy(F.window(time, every)).agg(F.count("*").alias("n_records"), F.approx_count_distinct("key").alias("n_keys")).select(F.col("window.start").alias("start"), "n_records", "n_keys")
 
 
-def ingest_stream(stream: DataFrame, known: DataFrame, target: str, checkpoint: str, order: str = "rec_id"):
+def ingest_stream(stream: DataFrame, known: DataFrame, target: str, checkpoint: str, order: str = "rec_id", shards: int = 64, every: int = 16):
     """Runs a stream of records to its present end and keeps each new key once, under ``target``.
 
-    A micro-batch is written under its own number, over what an earlier try of it may have left, and checked against
-    ``known`` and against all batches before it: a repeated batch gives the same files.
+    What was seen is kept as hashes of keys, in folders by shard of the hash (``target`` with ``_seen`` behind): those of
+    ``known`` once, before the first micro-batch, then those of each micro-batch. A micro-batch reads hashes only, of the
+    shards that its own keys fall in, and never ``known`` or earlier records again. After ``every`` micro-batches the
+    hashes of those are written together, so the number of files stays small. A micro-batch is written under its own
+    number, over what an earlier try of it may have left: a repeated one gives the same files.
     """
+    spark = stream.sparkSession
+    seen = f"{target}_seen"
+    h = [F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2")]
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
+
+    def write(rows: DataFrame, name: str) -> None:
+        rows.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(f"{seen}/{name}")
+
+    if not exists(spark, f"{seen}/known/_SUCCESS"):
+        write(known.select(key_column("smiles").alias("key")).where(F.col("key").isNotNull()).distinct().select(*h, shard), "known")
+
+    def held(upto: int) -> list[str]:
+        whole = [f"{seen}/upto={n}" for n in range(every, upto + 1, every) if exists(spark, f"{seen}/upto={n}/_SUCCESS")]
+        done = max((int(w.rsplit("=", 1)[1]) for w in whole), default=0)
+        return [f"{seen}/known", *whole[-1:], *[f"{seen}/batch={i}" for i in range(done, upto)]]
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        seen = [f"{target}/batch={i}" for i in range(number)]
-        fresh = new_keys(batch, known, order)
-        if seen:
-            fresh = fresh.join(spark.read.parquet(*seen).select("key"), "key", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        keyed = stage(first_of_keys(batch, order).select("key", order, *h, shard), "micro-batch")
+        touched = [r["shard"] for r in keyed.select("shard").distinct().collect()]  # at most ``shards``
+        old = batch.sparkSession.read.schema("h1 long, h2 long, shard int")
+        # Each folder has its own shards; one is read for each, so that a folder without rows does no harm.
+        before = None
+        for path in held(number):
+            part = old.parquet(path).where(F.col("shard").isin(touched)).select("h1", "h2")
+            before = part if before is None else before.unionByName(part)
+        fresh = keyed.join(before, ["h1", "h2"], "left_anti")
+        fresh.select("key", order).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        kept = batch.sparkSession.read.schema(fresh.select("key", order).schema).parquet(f"{target}/batch={number}")
+        write(kept.select(*h, shard), f"batch={number}")
+        if (number + 1) % every == 0:
+            parts = [p for p in held(number + 1) if not p.endswith("/known")]
+            merged = None
+            for path in parts:
+                part = old.parquet(path)
+                merged = part if merged is None else merged.unionByName(part)
+            write(merged, f"upto={number + 1}")
+        drop_staged(batch.sparkSession, keyed)
 
     q = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
