@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chemlattice.llm import bloom, leaks, multi_index, packing, residue, setjoin, small_world
-from chemlattice.session import table
+from chemlattice.session import prepared, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,6 +55,12 @@ def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     return leaks.spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks from suffix arrays that are built once for an application and kept: what a further test set costs."""
+    path = prepared(spark, d, "documents", "suffix-arrays", lambda p: leaks.build(table(spark, d, "documents")).write.parquet(p))
+    return leaks.leaked_in(spark.read.parquet(path), table(spark, d, "eval_items"))
+
+
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return leaks.clean(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "repo", "file_path")
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_usage": p6_usage,
     "p7_found": p7_found,
     "p7_spans": p7_spans,
+    "p7_indexed": p7_indexed,
     "p7_clean": p7_clean,
     "p8_found": p8_found,
     "p8_kinds": p8_kinds,
@@ -122,5 +129,14 @@ SQL: dict[str, str] = {
         links AS (SELECT mol_id, count(*) AS n FROM ends GROUP BY mol_id)
         SELECT mol_id, min(mol_id) OVER (PARTITION BY w) AS class_id, coalesce(links.n, 0) AS n_links FROM sets LEFT JOIN links USING (mol_id)""",
     "p7_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM leaks",
+    "p7_indexed": f"WITH {_GRAMS} SELECT doc_id, item_id FROM leaks",
+    # Runs of one diagonal, as word places; bytes are those of the words and of what stands between them.
+    "p7_spans": f"""WITH {_GRAMS}, di AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, unnest([array_to_string(w[i:i + 12], ' ') for i in range(1, len(w) - 11)]) AS k FROM d WHERE len(w) >= 13 AND doc_id IN (SELECT doc_id FROM leaks)),
+        ei AS (SELECT item_id, unnest(range(1, len(w) - 11)) AS j, unnest([array_to_string(w[i:i + 12], ' ') for i in range(1, len(w) - 11)]) AS k FROM e WHERE len(w) >= 13),
+        m AS (SELECT DISTINCT doc_id, item_id, i, i - j AS diagonal FROM di JOIN ei USING (k)),
+        runs AS (SELECT doc_id, item_id, min(i) AS lo, max(i) + 12 AS hi FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS run FROM m) GROUP BY doc_id, item_id, diagonal, run),
+        cut AS (SELECT doc_id, [strlen(x) for x in regexp_extract_all(text, '[A-Za-z0-9_]+')] AS n, [strlen(x) for x in regexp_split_to_array(text, '[A-Za-z0-9_]+')] AS gap FROM documents WHERE doc_id IN (SELECT doc_id FROM leaks) AND text IS NOT NULL)
+        SELECT doc_id, CAST(item_id AS BIGINT) AS item_id, CAST(list_sum(gap[1:lo]) + coalesce(list_sum(n[1:lo - 1]), 0) AS BIGINT) AS first_byte, CAST(list_sum(gap[1:hi]) + list_sum(n[1:hi]) AS BIGINT) AS end_byte, CAST(hi - lo + 1 AS INTEGER) AS n_words FROM runs JOIN cut USING (doc_id)""",
+    "p2_error_share": f"SELECT count(*) AS n_lookups, CAST(0 AS BIGINT) AS n_false_seen, CAST(0 AS BIGINT) AS n_missed, CAST(0 AS DOUBLE) AS wrong_share, CAST(1e-6 AS DOUBLE) AS bound FROM (SELECT DISTINCT lookup_id, {_KEY} AS k FROM key_lookups WHERE {_KEY} <> '' AND lookup_id IS NOT NULL)",
     "p7_clean": f"WITH {_GRAMS} SELECT doc_id, repo, file_path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaks)",
 }
