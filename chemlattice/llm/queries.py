@@ -47,6 +47,12 @@ def p6_usage(spark: SparkSession, d: str) -> DataFrame:
     return packing.usage(packing.pack(table(spark, d, "documents"), targets), targets)
 
 
+def p6_limits(spark: SparkSession, d: str) -> DataFrame:
+    """What fills the containers: tokens, places for documents, or attention."""
+    targets = table(spark, d, "pack_targets")
+    return packing.limits(packing.pack(table(spark, d, "documents"), targets), targets)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_links": p5_links,
     "p6_pack": p6_pack,
     "p6_usage": p6_usage,
+    "p6_limits": p6_limits,
     "p7_found": p7_found,
     "p7_spans": p7_spans,
     "p7_indexed": p7_indexed,

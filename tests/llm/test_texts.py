@@ -83,9 +83,10 @@ def test_best_fit_keeps_every_capacity(rule):
     rng = np.random.default_rng(1)
     tokens = rng.integers(1, 100, 600)
     for docs, attention in ((1000, 1e9), (3, 1e9), (1000, 6000.0)):
-        box = packing.vector_best_fit(tokens, 100, docs, max(attention, 100.0**2) if attention < 1e9 else attention, rule=rule)
-        used = np.bincount(box, weights=tokens)
-        assert used.max() <= 100 and np.bincount(box).max() <= docs
+        box = packing.vector_best_fit(tokens, 100, docs, attention, rule=rule)
+        used, cost, many = np.bincount(box, weights=tokens), np.bincount(box, weights=tokens.astype(float) ** 2), np.bincount(box)
+        assert used.max() <= 100 and many.max() <= docs
+        assert ((cost <= attention) | (many == 1)).all()  # what alone costs more than a container has stands alone
         assert sorted(set(box)) == list(range(box.max() + 1))
     box = packing.vector_best_fit(tokens, 100, 1000, 1e9, rule=rule)
     assert box.max() + 1 <= np.ceil(tokens.sum() / 100) * 1.06
@@ -97,6 +98,26 @@ def test_attention_is_a_constraint():
     assert len(packing.vector_best_fit(np.array([], np.int64), 10, 1, 1.0)) == 0
 
 
+def test_each_capacity_decides():
+    tokens = np.array([60, 40, 30, 20, 10, 10])
+    free = packing.vector_best_fit(tokens, 100, 10, 1e9).tolist()
+    assert free == [0, 0, 1, 1, 1, 1]
+    assert packing.vector_best_fit(tokens, 100, 2, 1e9).tolist() != free  # places for documents
+    assert packing.vector_best_fit(tokens, 100, 10, 4000.0).tolist() != free  # attention: 3600 + 1600 is too much
+    assert packing.vector_best_fit(tokens, 70, 10, 1e9).tolist() != free  # tokens
+
+
+@needs_vocabulary
+def test_targets_may_state_their_capacities(spark):
+    df = spark.createDataFrame([(i, "word " * (5 + i % 7)) for i in range(50)], "doc_id long, text string")
+    targets = spark.createDataFrame([(1, 64, None, None), (2, 64, 2, None), (3, 64, None, 150.0)], "target_id int, capacity_tokens int, max_documents int, attention_budget double")
+    rows = packing.pack(df, targets)
+    most = {r["target_id"]: r["m"] for r in rows.groupBy("target_id", "container_id").count().groupBy("target_id").agg({"count": "max"}).toDF("target_id", "m").collect()}
+    assert most[1] > 2 and most[2] == 2 and most[3] < most[1]
+    by = {(r["target_id"], r["limit"]): r for r in packing.limits(rows, targets).collect()}
+    assert by[2, "documents"]["n_fullest"] > 0 and by[3, "attention"]["n_fullest"] > 0 and by[2, "documents"]["n_over"] == by[1, "tokens"]["n_over"] == 0
+
+
 @needs_vocabulary
 def test_pack_keeps_every_token_once(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ITEMS", 40)
