@@ -110,7 +110,7 @@ def test_each_capacity_decides():
 @needs_vocabulary
 def test_targets_may_state_their_capacities(spark):
     df = spark.createDataFrame([(i, "word " * (5 + i % 7)) for i in range(50)], "doc_id long, text string")
-    targets = spark.createDataFrame([(1, 64, None, None), (2, 64, 2, None), (3, 64, None, 150.0)], "target_id int, capacity_tokens int, max_documents int, attention_budget double")
+    targets = spark.createDataFrame([(1, 64, None, None), (2, 64, 2, None), (3, 64, None, 80.0)], "target_id int, capacity_tokens int, max_documents int, attention_budget double")
     rows = packing.pack(df, targets)
     most = {r["target_id"]: r["m"] for r in rows.groupBy("target_id", "container_id").count().groupBy("target_id").agg({"count": "max"}).toDF("target_id", "m").collect()}
     assert most[1] > 2 and most[2] == 2 and most[3] < most[1]
