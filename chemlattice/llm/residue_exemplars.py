@@ -110,12 +110,11 @@ Content coming soon.
 # Sentences like those above come repeated, under headings and in comments such as these.
 FILLER_FRAME = "# Title ## Subtitle ### Heading <html><body><h1>Heading</h1><p> </p></body></html> body { } /* dummy */ // insert code here // placeholder - item"
 
-# Words of pseudo-Latin filler.
+# Words of pseudo-Latin filler. Further ones are learned from the corpus (``residue.companions``).
 FILLER_LATIN = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation "
     "ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat "
-    "non proident sunt culpa qui officia deserunt mollit anim id est laborum "
-    "aptet corvat datis exila ferrat festera grandis horae minume mirat nolum nuncis olim pellum quibus santum sedis tempora ulna vastur velora"
+    "non proident sunt culpa qui officia deserunt mollit anim id est laborum"
 )
 
 # Entries of lists that were never written, and their heads.

@@ -198,3 +198,51 @@ def test_messages_count_wherever_they_stand_in_long_documents():
     assert exemplars._messages(bag) == pytest.approx(5 * served)
     text = " ".join(["zzreal"] * 60 + [RESIDUE[1]] * 6)
     assert exemplars.judge(text)[0] == "message" and exemplars.judge(text)[1] == pytest.approx(6 * served / (6 * served + 60 * exemplars.other))
+
+
+def test_bounds_lose_nothing(spark):
+    rng = random.Random(5)
+    pieces = [*RESIDUE[:14], *residue.X.FILLER_SENTENCES, *residue.X.MESSAGES[:40], "asdf jkl asdf\n", "value_1 fooBar x/y.z 42 ", "une page spéciale ", "plain words of a real text ", "Lorem ipsum dolor sit amet "]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", "\n", "; "]) for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    texts += [" ".join(f"Sample text. name{i} someName{i} a_b" for i in range(n)) for n in (2, 5, 50)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    counts = residue.frequencies(df)
+    got = {tuple(r) for r in residue.classify(df, counts=counts).collect()}
+    assert got == {tuple(r) for r in residue.classify(df, counts=counts, prefilter=False).collect()} and len(texts) > len(got) > 50
+    assert {400, 401, 402} <= {r[0] for r in got}
+    assert residue.clean(df, counts=counts).count() == len(texts) - len(got)
+
+
+def test_every_blank_passes_the_bounds():
+    names, whole = residue._blank_words()
+    n = 0
+    for before, after in residue.X.BLANK_STYLES:
+        for field in residue.X.BLANK_FIELDS:
+            for f in {field, field.upper(), field.replace(" ", "_"), field.upper().replace(" ", "_"), field.title()}:
+                text = f"some words: {before}{f}{after} and more"
+                if residue._BLANK.search(text):
+                    n += 1
+                    data = np.frombuffer(text.encode(), np.uint8)
+                    h, at, _ = residue.words_of(data, np.zeros(1, np.int64))
+                    assert len(residue._may_be_unfilled(data, h, at, names, whole)), text
+    assert n > 1000
+
+
+def test_verdicts_do_not_turn_with_length():
+    exemplars = residue.Exemplars(1000, {w: 10 for w in residue.Exemplars.vocabulary()})
+    pool = sorted(w for w in exemplars.postings[residue.MESSAGE] if w.isascii() and w.isalpha())
+    for n in (4, 30, 59, 60, 61, 62, 80, 81, 160, 161, 500):
+        assert exemplars.judge(" ".join(pool[(7 * i) % len(pool)] for i in range(n)))[0] == "message", n
+
+
+def test_companions_are_learned(spark):
+    rng = random.Random(3)
+    own = ["brontal", "quessit", "marvola", "dendris", "ostuna", "velmar"]
+    latin = ["lorem", "ipsum", "dolor", "consectetur"]
+    filler = [" ".join(rng.choice(latin if rng.random() < 0.4 else own) for _ in range(60)) for _ in range(40)]
+    real = [CODE.format(i) for i in range(100)] + [CODE.format(i) + "text = 'lorem ipsum dolor consectetur elit'\n" for i in range(20)]
+    late = ["brontal quessit marvola dendris ostuna velmar lorem " * 3]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(filler + real + late)], "doc_id long, text string")
+    counts = residue.frequencies(df)
+    assert set(own) <= set(counts[2]) and not set(counts[2]) & {"text", "return", "def"}
+    assert {r["doc_id"] for r in residue.classify(df, counts=counts).collect()} == {*range(40), len(filler) + len(real)}
