@@ -55,9 +55,10 @@ FILLED = 0.6  # the same for filler
 POOLED = 0.85  # share of a document that all messages together must contain
 WINDOW, STRIDE = 80, 40  # words
 LEAST_FILLER = 3  # words
-SEED_WINDOW, SEEDS = 20, 4  # words of a window, and how many of them must be pseudo-Latin, for its other words to be learned from
-COMPANY = 0.8  # share of a word's documents in which it must stand in such windows
-COMMON = 0.02  # share of the documents with such windows in which a companion must stand: so they are bounded in number
+SEED_WINDOW, SEEDS = 20, 2  # words of a window, and how many of them must be pseudo-Latin, for its other words to be learned from
+MOSTLY = 0.8  # share of a document that such windows must make up, so that code with a line of pseudo-Latin teaches nothing
+COMPANY = 0.5  # share of a word's documents that must be made up so
+COMMON = 0.05  # share of the documents with such windows in which a companion must stand: so they are bounded in number
 
 NAME, BLANK, MASH = "xnamex", "xblankx", "xmashx"
 MESSAGE, FILLER, LINE = 0, 1, 2  # kinds of exemplars
@@ -345,7 +346,7 @@ def _plain(docs: DataFrame, doc_id: str | None, text: str) -> DataFrame:
 
 
 def company(docs: DataFrame, text: str = "text") -> dict[str, int]:
-    """Words that stand in windows of pseudo-Latin, in how many documents; those of a ``COMMON`` share of such documents.
+    """Words that stand in windows of pseudo-Latin, in how many documents made up of these; those of a ``COMMON`` share of such documents.
 
     A window holds ``SEED_WINDOW`` words, so at most ``SEED_WINDOW / COMMON`` words a window of a document come to the driver.
     """
@@ -358,13 +359,15 @@ def company(docs: DataFrame, text: str = "text") -> dict[str, int]:
                 h, at, end = words_of(data, offsets[:-1])
                 seed = _member(h, seeds)
                 owner = np.searchsorted(offsets, at, side="right") - 1
-                for d in np.flatnonzero(np.bincount(owner[seed], minlength=1) >= SEEDS).tolist():
+                for d in np.flatnonzero(np.bincount(owner[seed], minlength=1) >= 3).tolist():
                     rows = np.flatnonzero(owner == d)
-                    total[""] += 1
                     near = np.zeros(len(rows), bool)
                     for lo in range(0, len(rows), SEED_WINDOW // 2):
                         if seed[rows[lo : lo + SEED_WINDOW]].sum() >= SEEDS:
                             near[lo : lo + SEED_WINDOW] = True
+                    if near.mean() < MOSTLY:
+                        continue
+                    total[""] += 1
                     total.update({data[at[r] : end[r]].tobytes().decode().lower() for r in rows[near & ~seed[rows]].tolist()})
         names = [w for w in total if not w or w.isalpha()]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([total[w] for w in names], pa.int64())], names=["word", "n"])

@@ -240,7 +240,7 @@ def test_companions_are_learned(spark):
     own = ["brontal", "quessit", "marvola", "dendris", "ostuna", "velmar"]
     latin = ["lorem", "ipsum", "dolor", "consectetur"]
     filler = [" ".join(rng.choice(latin if rng.random() < 0.4 else own) for _ in range(60)) for _ in range(40)]
-    real = [CODE.format(i) for i in range(100)] + [CODE.format(i) + "text = 'lorem ipsum dolor consectetur elit'\n" for i in range(20)]
+    real = [CODE.format(i) for i in range(100)] + [CODE.format(i) * 4 + "text = 'lorem ipsum dolor consectetur elit'\n" for i in range(20)]
     late = ["brontal quessit marvola dendris ostuna velmar lorem " * 3]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(filler + real + late)], "doc_id long, text string")
     counts = residue.frequencies(df)
