@@ -178,9 +178,9 @@ class Exemplars:
 
     # Judging
 
-    def judge(self, text: str) -> tuple[str, float] | None:
+    def judge(self, text: str, may_be_blank: bool = True) -> tuple[str, float] | None:
         """Kind of residue and the share of the document that is covered; None if it is none."""
-        blank = self._unfilled(text)
+        blank = may_be_blank and self._unfilled(text)
         text = _MASHED.sub(f" {MASH} asdf ", text)
         bag = [w for w in words(text) if w not in ("\n", NAME)]
         if bag:
@@ -423,19 +423,30 @@ class _Judge:
         self.bounds, self.prefilter = self.exemplars.arrays(), prefilter
         self.names, self.whole = _blank_words()
 
+    @staticmethod
+    def _has_blank(data: np.ndarray, offsets: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """Documents with a blank around one of the places; a blank is far shorter than what is looked at."""
+        out = np.zeros(len(offsets) - 1, bool)
+        owner = np.searchsorted(offsets, names, side="right") - 1
+        for d, at in zip(owner.tolist(), names.tolist()):
+            if not out[d]:
+                near = data[max(offsets[d], at - 64) : min(offsets[d + 1], at + 96)].tobytes().decode(errors="replace")
+                out[d] = _BLANK.search(near) is not None
+        return out
+
     def found(self, texts: pa.Array) -> Iterator[tuple[int, str, float]]:
         """Row, kind and share of the texts that are residue."""
         for lo, hi, data, offsets in _chunks(pa.RecordBatch.from_arrays([texts], names=["text"]), 0):
             h, at, end = words_of(data, offsets[:-1])
-            blank = np.zeros(hi - lo, bool)
-            blank[np.searchsorted(offsets, at[_may_be_unfilled(data, h, at, self.names, self.whole)], side="right") - 1] = True
+            names = at[_may_be_unfilled(data, h, at, self.names, self.whole)]
+            blank = self._has_blank(data, offsets, names)
             may = self.bounds.may_be(data, offsets, h, at, end)
             if not self.prefilter:
-                may[:] = True
+                may[:] = blank[:] = True
             for i in np.flatnonzero(may | blank).tolist():
                 t = texts[lo + i].as_py()
                 if may[i]:
-                    got = self.exemplars.judge(t)
+                    got = self.exemplars.judge(t, bool(blank[i]))
                 else:
                     got = ("blank", 1.0) if self.exemplars._unfilled(t) else None
                 if got:
