@@ -3,26 +3,32 @@
 Tokens are ordered from rare to frequent. Two sets with likeness of at least
 t share at least ceil(t * size) tokens, so their first common token stands
 among the first s + 1 of either, s = size - ceil(t * size), their second
-among the first s + 2, and so on. Each record is sent to the inverted list of
-each of its first s + 1 tokens.
-
-Small sets: where the list of a token is long, its members enumerate the
-subsets of two, three, ... first common tokens, each level dividing the lists
-of the level before, until a list is short or the subset has ``DEPTH``
-tokens; the members of such a list are compared. Of a list that is divided,
-the members small enough to have no further common token are compared before.
-Large sets (over ``LARGE``
+among the first s + 2, and so on. Each record is sent to the inverted lists of
+subsets of its tokens: a subset is the first common tokens of the pairs that
+are found in its list.
+
+Subsets form a tree. Those of one token come first; a list that would hold more
+than ``LIST_ROWS`` records is divided into those of its next common tokens, level
+by level, as counts over all records show. So what is shuffled follows the
+data, not its square. Of a list that is divided, the records
+small enough to have no further common token go to a list of their own.
+
+Small sets: within a list, members enumerate further common tokens
+in the same way, until a list is short or the subset has ``DEPTH``
+tokens; the members of such a list are compared. Large sets (over ``LARGE``
 tokens, of which the subsets would be too many) are compared with the whole
 inverted list instead. The union of both is filtered by the exact likeness. A
 pair comes out of one list only: the one whose tokens are exactly the pair's
-first common ones.
+first common ones. Before words are compared, places decide: the smaller set of
+a pair shares even more of its own tokens, so the subset must stand further in
+front in it, and what stands behind the subset bounds what can be shared.
 
-A list with more than ``LIST_ROWS`` records, such as that of a token which a
-third of all rows carry, is cut into blocks, and each pair of blocks is a task
-of its own. No list, candidate or pair is dropped.
+A list that stays long with ``DEPTH`` tokens is cut into blocks of ``LIST_ROWS``, and
+each pair of blocks is a task of its own. No list, candidate or pair is dropped.
 
 Equal sets form one class and are compared once. ``class_pairs`` gives pairs
-of classes, ``expand`` the pairs of records.
+of classes, which with ``members`` and ``classes`` are the whole result;
+``expand`` makes pairs of records of it, a class in blocks of ``MEMBERS``.
 
 Defined results: as in ``fingerprints``; sets without tokens match nothing;
 equal sets have likeness 1; an empty table gives an empty result.
@@ -32,6 +38,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +51,10 @@ from chemlattice.session import slots, stage, tasks_for
 LARGE = 160
 DEPTH = 6
 SHORT = 128
-LIST_ROWS = 50_000
+LIST_ROWS = 20_000
+NODES = 4096  # divided lists of a level at most; where there would be more, lists may be longer in proportion
 BLOCK = 100_000
+MEMBERS = 2000
 
 
 def needed(size: np.ndarray, t: float) -> np.ndarray:
@@ -82,8 +91,73 @@ def _totals(df: DataFrame) -> np.ndarray:
     return out
 
 
-_SENT_SQL = "token int, a int, b int, block int, rep long, tokens binary"
-_SENT = pa.schema([("token", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("block", pa.int32()), ("rep", pa.int64()), ("tokens", pa.binary())])
+class Tree:
+    """Subsets of tokens by number: depth, last token, whether divided, and the children of those that are."""
+
+    def __init__(self) -> None:
+        self.depth, self.last = np.ones(N_BITS, np.int64), np.arange(N_BITS)
+        self.rows = np.zeros(N_BITS, np.int64)
+        self.divided = np.zeros(N_BITS, bool)
+        self.keys, self.child = np.zeros(0, np.int64), np.zeros(0, np.int64)  # parent * N_BITS + token, in order
+
+    def divide(self, nodes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Adds the children of ``nodes``, of which ``counts`` holds the rows by token; those with two rows at least. Gives their numbers."""
+        i, token = np.nonzero(counts > 1)
+        new = len(self.depth) + np.arange(len(i))
+        self.divided[nodes] = True
+        keys = np.concatenate([self.keys, nodes[i] * N_BITS + token])
+        order = np.argsort(keys)
+        self.keys, self.child = keys[order], np.concatenate([self.child, new])[order]
+        self.depth = np.concatenate([self.depth, self.depth[nodes[i]] + 1])
+        self.last = np.concatenate([self.last, token])
+        self.rows = np.concatenate([self.rows, counts[i, token]])
+        self.divided = np.concatenate([self.divided, np.zeros(len(i), bool)])
+        return new
+
+    def levels(self, tokens: np.ndarray, sizes: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """By level: record, place of the subset's last token in it, subset, depth. Only divided subsets lead to the next level."""
+        start, spare = np.cumsum(sizes) - sizes, sizes - needed(sizes, t)
+        many = np.minimum(spare + 1, sizes)
+        row = np.repeat(np.arange(len(sizes)), many)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        node, depth = tokens[start[row] + place].astype(np.int64), 1
+        while len(row):
+            yield row, place, node, depth
+            row, place, node = self._next(tokens, sizes, start, spare, row, place, node, depth)
+            if not len(row) or not len(self.keys):
+                return
+            at = np.searchsorted(self.keys, node)
+            at[at == len(self.keys)] = 0
+            ok = self.keys[at] == node
+            row, place, node, depth = row[ok], place[ok], self.child[at[ok]], depth + 1
+
+    def _next(self, tokens, sizes, start, spare, row, place, node, depth):  # noqa: ANN001
+        """Next common tokens of the records of divided subsets, as keys."""
+        go = self.divided[node]
+        row, place, node = row[go], place[go], node[go]
+        many = np.maximum(0, np.minimum(spare[row] + depth, sizes[row] - 1) - place)
+        src = np.repeat(np.arange(len(row)), many)
+        nxt = place[src] + 1 + np.arange(len(src)) - np.repeat(np.cumsum(many) - many, many)
+        return row[src], nxt, node[src] * N_BITS + tokens[start[row[src]] + nxt].astype(np.int64)
+
+    def children(self, tokens: np.ndarray, sizes: np.ndarray, t: float, nodes: np.ndarray) -> np.ndarray:
+        """Rows that each child of ``nodes``, which are all of one depth, would hold."""
+        out = np.zeros((len(nodes), N_BITS), np.int64)
+        start, spare = np.cumsum(sizes) - sizes, sizes - needed(sizes, t)
+        number = np.full(len(self.depth), -1)
+        number[nodes] = np.arange(len(nodes))
+        wanted = Tree.__new__(Tree)
+        wanted.divided = number >= 0
+        for row, place, node, depth in self.levels(tokens, sizes, t):
+            if depth == self.depth[nodes[0]]:
+                key = wanted._next(tokens, sizes, start, spare, row, place, node, depth)[2]
+                out += np.bincount(number[key // N_BITS] * N_BITS + key % N_BITS, minlength=out.size).reshape(out.shape)
+                break
+        return out
+
+
+_SENT_SQL = "node int, a int, b int, block int, rep long, tokens binary"
+_SENT = pa.schema([("node", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("block", pa.int32()), ("rep", pa.int64()), ("tokens", pa.binary())])
 
 
 def _prefixes(rank: np.ndarray, t: float):
@@ -101,18 +175,36 @@ def _prefixes(rank: np.ndarray, t: float):
     return each
 
 
-def _send(rank: np.ndarray, blocks: np.ndarray, t: float):
+def _divided(tree: Tree, nodes: np.ndarray, rank: np.ndarray, t: float):
+    """Per task, how many records each child of the nodes gets."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(nodes), N_BITS), np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 4000):
+                tokens, sizes = _ordered(matrix(b.slice(at, 4000)), rank)
+                total += tree.children(tokens, sizes, t, nodes)
+        i, token = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(token.astype(np.int32)), pa.array(total[i, token])], names=["at", "token", "n"])
+
+    return each
+
+
+def _send(rank: np.ndarray, tree: Tree, blocks: np.ndarray, t: float):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4000):
                 b = whole.slice(at, 4000)
                 tokens, sizes = _ordered(matrix(b), rank)
-                start = np.cumsum(sizes) - sizes
-                place = np.arange(len(tokens)) - np.repeat(start, sizes)
-                keep = place <= np.repeat(sizes - needed(sizes, t), sizes)
-                row, token = np.repeat(np.arange(len(sizes)), sizes)[keep], tokens[keep].astype(np.int64)
-                rep = b["rep"].to_numpy()
-                nb = blocks[token]
+                rows, nodes = [], []
+                for row, _, node, depth in tree.levels(tokens, sizes, t):
+                    ends = tree.divided[node] & (sizes[row] <= math.floor(depth / t + 1e-9))
+                    keep = ~tree.divided[node] & (tree.rows[node] > 1)
+                    rows += [row[keep], row[ends]]
+                    nodes += [node[keep], node[ends]]
+                row, node = np.concatenate(rows), np.concatenate(nodes)
+                rep, start = b["rep"].to_numpy(), np.cumsum(sizes) - sizes
+                nb = blocks[node]
                 own = (rep[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % nb
                 times = np.repeat(np.arange(len(row)), nb)  # once for each block that the own block meets
                 other = np.arange(len(times)) - np.repeat(np.cumsum(nb) - nb, nb)
@@ -120,7 +212,7 @@ def _send(rank: np.ndarray, blocks: np.ndarray, t: float):
                 packed = pa.array([tokens[s : s + n].tobytes() for s, n in zip(start, sizes)], pa.binary())
                 who = pa.array(row[times])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.astype(np.int32)) for x in (token[times], np.minimum(mine, other), np.maximum(mine, other), mine)] + [b["rep"].take(who), packed.take(who)], schema=_SENT
+                    [pa.array(x.astype(np.int32)) for x in (node[times], np.minimum(mine, other), np.maximum(mine, other), mine)] + [b["rep"].take(who), packed.take(who)], schema=_SENT
                 )
 
     return each
@@ -131,36 +223,51 @@ _PAIR = pa.schema([("rep_a", pa.int64()), ("rep_b", pa.int64()), ("likeness", pa
 
 
 class _List:
-    """The inverted list of one token (or of two blocks of it)."""
+    """The inverted list of one subset (or of two blocks of it)."""
 
-    def __init__(self, token: int, cross: bool, block: np.ndarray, rep: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, t: float) -> None:
-        self.token, self.cross, self.block, self.rep, self.tokens, self.sizes, self.t = token, cross, block, rep, tokens, sizes, t
+    def __init__(self, last: int, depth: int, cross: bool, block: np.ndarray, rep: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, t: float) -> None:
+        self.last, self.depth, self.cross, self.block, self.rep, self.tokens, self.sizes, self.t = last, depth, cross, block, rep, tokens, sizes, t
         self.start = np.cumsum(sizes) - sizes
         self.words = _words_of(tokens, sizes)
         self.spare = sizes - needed(sizes, t)
+        self.short = sizes - np.ceil(2 * t / (1 + t) * sizes - 1e-9).astype(np.int64)  # the same against partners that are no smaller
+        place = np.flatnonzero(tokens == last)
+        self.place = np.full(len(sizes), -1, np.int64)
+        owner = np.searchsorted(self.start, place, side="right") - 1
+        self.place[owner] = place - self.start[owner]
         self.out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def compare(self, x: np.ndarray, y: np.ndarray, last: np.ndarray, depth: int, ends: bool = False) -> None:
-        """Pairs whose common tokens up to rank ``last`` should be ``depth`` many; with ``ends``, all their common tokens."""
-        for s in range(0, len(x), BLOCK):
-            a, b, upto = x[s : s + BLOCK], y[s : s + BLOCK], last[s : s + BLOCK]
-            na, nb = self.sizes[a], self.sizes[b]
-            ok = np.minimum(na, nb) >= (self.t - 1e-9) * np.maximum(na, nb)
-            if self.cross:
-                ok &= self.block[a] != self.block[b]
+    def compare(self, x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, last: np.ndarray, depth: int, ends: bool = False) -> None:
+        """Pairs whose common tokens up to rank ``last`` should be ``depth`` many, the last at places px and py; with ``ends``, all their common tokens."""
+        na, nb = self.sizes[x], self.sizes[y]
+        need = np.ceil(self.t / (1 + self.t) * (na + nb) - 1e-9)  # what a pair must share
+        ok = depth + np.minimum(na - px, nb - py) - 1 >= need
+        ok &= ((na > nb) | (px < self.short[x] + depth)) & ((nb > na) | (py < self.short[y] + depth))
+        if self.cross:
+            ok &= self.block[x] != self.block[y]
+        a, b, upto, need = x[ok], y[ok], last[ok], need[ok]
+        if len(a) > 4096:  # half of the words bounds what is shared
+            both = np.bitwise_count(self.words[a, ::2] & self.words[b, ::2]).sum(axis=1, dtype=np.int16)
+            rest = np.minimum(self.odd[a], self.odd[b])
+            ok = both + rest >= need
             a, b, upto = a[ok], b[ok], upto[ok]
-            common = self.words[a] & self.words[b]
-            both = np.bitwise_count(common).sum(axis=1, dtype=np.int64)
-            like = both / (self.sizes[a] + self.sizes[b] - both)
-            hit = np.flatnonzero((like >= self.t) & (both == depth) if ends else like >= self.t)
-            if not len(hit):
-                continue
-            a, b, upto, common = a[hit], b[hit], upto[hit], common[hit]
-            word = upto >> 6
-            mask = np.where(np.arange(N_WORDS)[None] < word[:, None], np.uint64(2**64 - 1), np.uint64(0))
-            mask[np.arange(len(hit)), word] = np.uint64(2**64 - 1) >> (63 - (upto & 63)).astype(np.uint64)
-            first = np.bitwise_count(common & mask).sum(axis=1, dtype=np.int64) == depth
-            self.out.append((self.rep[a[first]], self.rep[b[first]], like[hit][first]))
+        common = self.words[a] & self.words[b]
+        both = np.bitwise_count(common).sum(axis=1, dtype=np.int64)
+        like = both / (self.sizes[a] + self.sizes[b] - both)
+        hit = np.flatnonzero((like >= self.t) & (both == depth) if ends else like >= self.t)
+        if not len(hit):
+            return
+        a, b, upto, common = a[hit], b[hit], upto[hit], common[hit]
+        word = upto >> 6
+        mask = np.where(np.arange(N_WORDS)[None] < word[:, None], np.uint64(2**64 - 1), np.uint64(0))
+        mask[np.arange(len(hit)), word] = np.uint64(2**64 - 1) >> (63 - (upto & 63)).astype(np.uint64)
+        first = np.bitwise_count(common & mask).sum(axis=1, dtype=np.int64) == depth
+        self.out.append((self.rep[a[first]], self.rep[b[first]], like[hit][first]))
+
+    @cached_property
+    def odd(self) -> np.ndarray:
+        """Tokens in every other word."""
+        return np.bitwise_count(self.words[:, 1::2]).sum(axis=1, dtype=np.int16)
 
     def scan(self, large: np.ndarray) -> None:
         """Large sets against the whole list."""
@@ -172,27 +279,28 @@ class _List:
             x = np.repeat(large[s : s + step], n)
             y = np.tile(np.arange(n), len(large[s : s + step]))
             ok = (x != y) & (~is_large[y] | (x < y))
-            self.compare(x[ok], y[ok], np.full(int(ok.sum()), self.token), 1)
-
-    def enumerate(self, small: np.ndarray) -> None:
-        """Subsets of first common tokens, level by level."""
-        place = np.repeat(self.start, self.sizes)
-        at_token = np.flatnonzero(self.tokens == self.token)
-        where = np.full(len(self.sizes), -1, np.int64)
-        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        where[owner[at_token]] = at_token - place[at_token]
-        member, index, group = small, where[small], np.zeros(len(small), np.int64)
-        last = np.array([self.token])  # of each group
-        depth = 1
+            x, y = x[ok], y[ok]
+            for lo in range(0, len(x), BLOCK):
+                i, j = x[lo : lo + BLOCK], y[lo : lo + BLOCK]
+                self.compare(i, j, self.place[i], self.place[j], np.full(len(i), self.last), self.depth)
+
+    def enumerate(self, small: np.ndarray, ends: bool = False) -> None:
+        """Subsets of further common tokens, level by level; with ``ends``, only pairs that have none."""
+        member, index, group = small, self.place[small], np.zeros(len(small), np.int64)
+        last = np.array([self.last])  # of each group
+        depth = self.depth
+        if ends:
+            self._ending(member, index, group, last, depth)
+            return
         while len(member):
-            order = np.argsort(group, kind="stable")
+            order = np.lexsort((self.sizes[member], group))
             member, index, group = member[order], index[order], group[order]
             count = np.bincount(group, minlength=len(last))
-            leaf = (count <= SHORT) | (depth == DEPTH)
-            self._pairs(member, group, count, leaf, last, depth)
+            leaf = (count <= SHORT) | (depth >= DEPTH)
+            self._pairs(member, index, group, count, leaf, last, depth)
             go = ~leaf[group]
             member, index, group = member[go], index[go], group[go]
-            self._ending(member, group, last, depth)
+            self._ending(member, index, group, last, depth)
             if not len(member):
                 break
             # The next common token of a member stands after the last one and among its first spare + depth + 1.
@@ -209,53 +317,59 @@ class _List:
             last = (keys[keep] % N_BITS).astype(np.int64)
             depth += 1
 
-    def _pairs(self, member: np.ndarray, group: np.ndarray, count: np.ndarray, leaf: np.ndarray, last: np.ndarray, depth: int) -> None:
-        """Compares all members of each leaf."""
-        start = np.cumsum(count) - count
+    def _pairs(self, member: np.ndarray, index: np.ndarray, group: np.ndarray, count: np.ndarray, leaf: np.ndarray, last: np.ndarray, depth: int) -> None:
+        """Compares the members of each leaf, which stand in order of size, with those that follow and aren't too large."""
         rows = np.flatnonzero(leaf[group])
-        after = start[group[rows]] + count[group[rows]] - rows - 1  # later members of the same leaf
-        self._deal(member, rows, after, last[group], depth)
+        size = self.sizes[member]
+        key = group * (2 * N_BITS) + size
+        until = np.searchsorted(key, group[rows] * (2 * N_BITS) + np.floor(size[rows] / self.t + 1e-9).astype(np.int64), side="right")
+        after = np.where(index[rows] < self.short[member[rows]] + depth, until - rows - 1, 0)  # the smaller one, whose subset must stand in front
+        self._deal(member, index, rows, after, last[group], depth)
 
-    def _ending(self, member: np.ndarray, group: np.ndarray, last: np.ndarray, depth: int) -> None:
+    def _ending(self, member: np.ndarray, index: np.ndarray, group: np.ndarray, last: np.ndarray, depth: int) -> None:
         """Compares the members of each group that are similar even if they share its tokens only.
 
         These have sizes of at most depth + depth / t together, so all pairs compared are similar.
         """
         both = math.floor(depth + depth / self.t + 1e-9)
         few = self.sizes[member] <= both - depth
-        member, group = member[few], group[few]
+        member, index, group = member[few], index[few], group[few]
         key = group * (both + 1) + self.sizes[member]
         order = np.argsort(key, kind="stable")
-        member, group, key = member[order], group[order], key[order]
+        member, index, group, key = member[order], index[order], group[order], key[order]
         rows = np.arange(len(member))
         until = np.searchsorted(key, group * (both + 1) + both - self.sizes[member], side="right")
-        self._deal(member, rows, np.maximum(0, until - rows - 1), last[group], depth, ends=True)
+        self._deal(member, index, rows, np.maximum(0, until - rows - 1), last[group], depth, ends=True)
 
-    def _deal(self, member: np.ndarray, rows: np.ndarray, after: np.ndarray, last: np.ndarray, depth: int, ends: bool = False) -> None:
+    def _deal(self, member: np.ndarray, index: np.ndarray, rows: np.ndarray, after: np.ndarray, last: np.ndarray, depth: int, ends: bool = False) -> None:
         """Compares each of ``rows`` with the ``after`` members that follow it, in blocks."""
+        rows, after = rows[after > 0], after[after > 0]
         upto = np.cumsum(after)
         lo = 0
         while lo < len(rows):
-            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + 4 * BLOCK, side="right")))
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + BLOCK, side="right")))
             n = after[lo:hi]
             x = np.repeat(rows[lo:hi], n)
             y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
-            self.compare(member[x], member[y], last[x], depth, ends)
+            for s in range(0, len(x), 2 * BLOCK):
+                i, j = x[s : s + 2 * BLOCK], y[s : s + 2 * BLOCK]
+                self.compare(member[i], member[j], index[i], index[j], last[i], depth, ends)
             lo = hi
 
 
-def _join(t: float):
+def _join(tree: Tree, t: float):
     def finish(key: tuple[int, int, int], held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = pa.Table.from_batches(held).combine_chunks()
         if b.num_rows < 2:
             return
         rows = [np.frombuffer(x, np.int16) for x in b["tokens"].to_pylist()]
         sizes = np.array([len(x) for x in rows], np.int64)
-        one = _List(key[0], key[1] != key[2], b["block"].to_numpy(), b["rep"].to_numpy(), np.concatenate(rows), sizes, t)
-        is_large = sizes > LARGE
+        node = key[0]
+        one = _List(int(tree.last[node]), int(tree.depth[node]), key[1] != key[2], b["block"].to_numpy(), b["rep"].to_numpy(), np.concatenate(rows), sizes, t)
+        is_large = (sizes > LARGE) & ~tree.divided[node]
         if is_large.any():
             one.scan(np.flatnonzero(is_large))
-        one.enumerate(np.flatnonzero(~is_large))
+        one.enumerate(np.flatnonzero(~is_large), ends=bool(tree.divided[node]))
         if one.out:
             a, o, x = (np.concatenate(y) for y in zip(*one.out))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, o)), pa.array(np.maximum(a, o)), pa.array(x)], schema=_PAIR)
@@ -265,7 +379,7 @@ def _join(t: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            k = np.stack([b[c].to_numpy() for c in ("token", "a", "b")])
+            k = np.stack([b[c].to_numpy() for c in ("node", "a", "b")])
             edge = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
             for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), b.num_rows]):
                 now = tuple(k[:, lo].tolist())
@@ -287,21 +401,45 @@ def class_pairs(cls: DataFrame, t: float = 0.8) -> DataFrame:
     frequency = _totals(cls.select(*WORDS).mapInArrow(_count_bits, "token int, n long"))
     rank = np.empty(N_BITS, np.int64)
     rank[np.argsort(frequency, kind="stable")] = np.arange(N_BITS)
-    lists = _totals(cls.select(*WORDS).mapInArrow(_prefixes(rank, t), "token int, n long"))
-    blocks = np.maximum(1, -(-lists // LIST_ROWS))
-    sent = cls.select("rep", *WORDS).mapInArrow(_send(rank, blocks, t), _SENT_SQL)
-    tasks = max(8 * slots(cls.sparkSession), math.ceil(int((lists * blocks).sum()) / 200_000))
-    return sent.repartition(tasks, "token", "a", "b").sortWithinPartitions("token", "a", "b").mapInArrow(_join(t), _PAIR_SQL)
+    words = cls.select(*WORDS)
+    tree = Tree()
+    tree.rows = _totals(words.mapInArrow(_prefixes(rank, t), "token int, n long"))
+    fresh = np.arange(N_BITS)
+    for _ in range(1, DEPTH):
+        longest = max(LIST_ROWS, math.ceil(int(tree.rows[fresh].sum()) / NODES))
+        nodes = fresh[tree.rows[fresh] > longest]
+        if not len(nodes):
+            break
+        got = words.mapInArrow(_divided(tree, nodes, rank, t), "at int, token int, n long").groupBy("at", "token").agg(F.sum("n").alias("n")).toPandas()  # at most NODES * N_BITS rows
+        counts = np.zeros((len(nodes), N_BITS), np.int64)
+        counts[got["at"].to_numpy(), got["token"].to_numpy()] = got["n"].to_numpy()
+        fresh = tree.divide(nodes, counts)
+    blocks = np.where(tree.divided, 1, np.maximum(1, -(-tree.rows // LIST_ROWS)))
+    sent = cls.select("rep", *WORDS).mapInArrow(_send(rank, tree, blocks, t), _SENT_SQL)
+    tasks = max(8 * slots(cls.sparkSession), math.ceil(int((tree.rows * blocks)[~tree.divided].sum()) / 200_000))
+    return sent.repartition(tasks, "node", "a", "b").sortWithinPartitions("node", "a", "b").mapInArrow(_join(tree, t), _PAIR_SQL)
 
 
 def expand(mem: DataFrame, cls: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs of records from pairs of classes and, within a class, from its members."""
+    """Pairs of records from pairs of classes and, within a class, from its members.
+
+    A class's members travel as lists of about ``MEMBERS`` ids. Pairs of lists are dealt out before they become pairs of
+    records, so no task gets all pairs of a class that holds a third of all rows.
+    """
     named = mem.join(cls.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "mol_id")
-    a = named.select(F.col("rep").alias("rep_a"), F.col("mol_id").alias("a"))
-    b = named.select(F.col("rep").alias("rep_b"), F.col("mol_id").alias("b"))
-    both = pairs.select("rep_a", "rep_b").unionByName(cls.select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")))
-    met = both.join(a, "rep_a").join(b, "rep_b").where((F.col("rep_a") != F.col("rep_b")) | (F.col("a") < F.col("b")))
-    return met.select(F.least("a", "b").alias("mol_id_a"), F.greatest("a", "b").alias("mol_id_b"))
+    crowded = named.groupBy("rep").agg(F.count("*").alias("n")).where(F.col("n") > MEMBERS).select("rep", F.ceil(F.col("n") / MEMBERS).alias("parts"))
+    part = F.pmod(F.xxhash64("mol_id"), F.coalesce("parts", F.lit(1)))
+    lists = named.join(crowded, "rep", "left").groupBy("rep", part.cast("int").alias("part")).agg(F.collect_list("mol_id").alias("ids"))
+    lists = stage(lists, "lists")
+    a = lists.select(F.col("rep").alias("rep_a"), F.col("part").alias("part_a"), F.col("ids").alias("a"))
+    b = lists.select(F.col("rep").alias("rep_b"), F.col("part").alias("part_b"), F.col("ids").alias("b"))
+    other = pairs.select("rep_a", "rep_b").join(a, "rep_a").join(b, "rep_b")
+    own = lists.where("size(ids) > 1 or part > 0").select(F.col("rep").alias("rep_a")).distinct()
+    same = own.join(a, "rep_a").join(b.withColumnRenamed("rep_b", "rep_a"), "rep_a").where("part_a <= part_b").withColumn("rep_b", F.col("rep_a"))
+    met = other.unionByName(same.select(other.columns)).repartition("rep_a", "rep_b", "part_a", "part_b")
+    each = met.select("rep_a", "rep_b", "part_a", "part_b", F.explode("a").alias("a"), "b").select("rep_a", "rep_b", "part_a", "part_b", "a", F.explode("b").alias("b"))
+    each = each.where((F.col("rep_a") != F.col("rep_b")) | (F.col("part_a") != F.col("part_b")) | (F.col("a") < F.col("b")))
+    return each.select(F.least("a", "b").alias("mol_id_a"), F.greatest("a", "b").alias("mol_id_b"))
 
 
 def similar_pairs(table: DataFrame, t: float = 0.8) -> DataFrame:
