@@ -3,13 +3,17 @@
 The bits, weighted by rarity, are dealt into two halves. A codebook of K
 centroids is fitted for each half on a bounded sample (``SAMPLE`` classes,
 those with the smallest hashes). Every fingerprint is then filed under the
-pair of its nearest centroids, a cell of a K x K grid.
+pair of its nearest centroids, a cell of a K x K grid; K grows with the root of
+the number of fingerprints, so that there are ``CELL_ROWS`` for each cell.
 
 A query visits cells in order of the summed distances of the two halves,
-which a heap yields without sorting the grid, until the cells it has met
-hold ``CANDIDATES`` fingerprints and are ``LEAST_CELLS``, so that denser data do
-not narrow the search. These are reranked by exact likeness. A pair met from
-either side counts for both.
+until the cells it has met hold ``CANDIDATES`` fingerprints and are ``LEAST_CELLS``, so
+that denser data do not narrow the search. The order comes from a heap, which
+holds the next cell of each first-half centroid and never sorts the grid; the heaps of a
+block of queries are the rows of one array and advance together. Where
+the ``REACH`` nearest centroids of the halves do not hold enough, further ones are taken in, up to all.
+The fingerprints met are reranked by exact likeness, cell by cell, all queries of a cell
+at once. A pair met from either side counts for both.
 
 Work is split by cells: ranges of first-half centroids form parts of about
 equal work, as foreseen from a sample of queries. Each part receives its own
@@ -29,7 +33,6 @@ reach ``least``; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -45,11 +48,13 @@ SAMPLE = 20_000
 CANDIDATES = 1500
 LEAST_CELLS = 24  # filled cells that a query visits at least, however full they are
 MAX_K = 1024
+CELL_ROWS = 1.4  # fingerprints for each cell of the grid; as they crowd together, most cells are empty and the others hold some twenty times as many
 PART_ROWS = 100_000
 ROUNDS = 6
 WORK_SAMPLE = 2000  # sample queries from which the parts' work is foreseen
-REACH = 64  # centroids of each half that a query may combine
-BLOCK = 100_000  # pairs reranked at a time
+REACH = 48  # centroids of each half that a query combines at first
+BLOCK = 400_000  # pairs reranked at a time
+ASKED = 40_000  # queries of a part that are answered together
 
 
 class Codebook:
@@ -83,22 +88,50 @@ class Codebook:
         return [n[None] - 2 * ((bits[:, h] * w) @ c.T) for h, w, c, n in zip(self.half, self.weight, self.centroids, self.norms)]
 
 
-def traverse(d0: list[float], d1: list[float], r0: list[int], r1: list[int], k: int, counts: np.ndarray, enough: int) -> list[int]:
-    """Filled cells in order of summed distance until they are ``LEAST_CELLS`` and hold ``enough``; d0 and d1 are sorted."""
-    heap, out, held = [(d0[0] + d1[0], 0, 0)], [], 0
-    n0, n1 = len(d0), len(d1)
-    while heap and (held < enough or len(out) < LEAST_CELLS):
-        _, i, j = heapq.heappop(heap)
-        cell = r0[i] * k + r1[j]
+def traverse(dist: list[np.ndarray], k: int, counts: np.ndarray, enough: int, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """Query and cell, for filled cells in order of summed distance until they are ``LEAST_CELLS`` and hold ``enough``.
+
+    ``dist`` has the queries' distances to the centroids of each half.
+    """
+    n = len(dist[0])
+    reach = min(reach, k)
+    near = [np.argpartition(x, reach - 1, axis=1)[:, :reach] for x in dist]
+    near = [np.take_along_axis(i, np.argsort(np.take_along_axis(x, i, 1), axis=1, kind="stable"), 1) for x, i in zip(dist, near)]
+    d0, d1 = (np.take_along_axis(x, i, 1).astype(np.float32) for x, i in zip(dist, near))
+    d1 = np.concatenate([d1, np.full((n, 1), np.inf, np.float32)], axis=1)
+    heap = d0 + d1[:, :1]  # for each first-half centroid, the next cell's distance
+    at = np.zeros((n, reach), np.int64)
+    who, held, met = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    queries, cells, short = [], [], []
+    while len(who):
+        row = np.arange(len(who))
+        i = heap.argmin(axis=1)
+        j = at[row, i]
+        gone = ~np.isfinite(heap[row, i])  # all combinations are used up
+        if gone.any():
+            if reach < k:
+                short.append(who[gone])
+            who, heap, at, d0, d1, held, met = (x[~gone] for x in (who, heap, at, d0, d1, held, met))
+            continue
+        cell = near[0][who, i] * k + near[1][who, j]
         c = counts[cell]
-        if c:
-            out.append(cell)
-            held += c
-        if j + 1 < n1:
-            heapq.heappush(heap, (d0[i] + d1[j + 1], i, j + 1))
-        if j == 0 and i + 1 < n0:
-            heapq.heappush(heap, (d0[i + 1] + d1[0], i + 1, 0))
-    return out
+        full = c > 0
+        queries.append(who[full])
+        cells.append(cell[full])
+        held, met = held + c, met + full
+        at[row, i] = j + 1
+        heap[row, i] = d0[row, i] + d1[row, j + 1]
+        go = (held < enough) | (met < LEAST_CELLS)
+        if not go.all():
+            who, heap, at, d0, d1, held, met = (x[go] for x in (who, heap, at, d0, d1, held, met))
+    q, c = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (queries, cells))
+    if short:
+        again = np.concatenate(short)
+        ok = ~np.isin(q, again)
+        more = traverse([x[again] for x in dist], k, counts, enough, 4 * reach)
+        q, c = np.concatenate([q[ok], again[more[0]]]), np.concatenate([c[ok], more[1]])
+    order = np.argsort(q, kind="stable")
+    return q[order], c[order]
 
 
 class Plan:
@@ -132,13 +165,8 @@ class Plan:
 
 def _work(book: Codebook, sample: np.ndarray, counts: np.ndarray, enough: int) -> np.ndarray:
     """Comparisons by first-half centroid that a sample of queries causes."""
-    out = np.ones(book.k)
-    for i in range(len(sample)):
-        dists = book.distances(sample[i : i + 1])
-        near = [np.argsort(d[0], kind="stable")[:REACH] for d in dists]
-        for c in traverse(dists[0][0][near[0]].tolist(), dists[1][0][near[1]].tolist(), near[0].tolist(), near[1].tolist(), book.k, counts, enough):
-            out[c // book.k] += counts[c]
-    return out
+    cells = traverse(book.distances(sample), book.k, counts, enough)[1]
+    return 1 + np.bincount(cells // book.k, weights=counts[cells], minlength=book.k)
 
 
 _ROUTED_SQL = "part int, query boolean, rep long, cell int, cells binary, " + ", ".join(f"{w} long" for w in WORDS)
@@ -159,7 +187,6 @@ def _route(book, plan, k: int, enough: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan.value
         counts, keys = p.counts, p.keys
-        reach = min(REACH, k)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
@@ -170,27 +197,22 @@ def _route(book, plan, k: int, enough: int):
                 column = np.arange(len(filed_row)) - np.repeat(np.cumsum(copies) - copies, copies)
                 h = home[filed_row]
                 where = keys[p.first[h] + (rep[filed_row] % p.rows[h]) * p.asks[h] + column]
-                d = book.value.distances(matrix(b))
-                near = [np.argpartition(x, reach - 1, axis=1)[:, :reach] for x in d]
-                near = [np.take_along_axis(n, np.argsort(np.take_along_axis(x, n, 1), axis=1, kind="stable"), 1) for x, n in zip(d, near)]
-                dist = [np.take_along_axis(x, n, 1) for x, n in zip(d, near)]
-                row, part, cells = [], [], []
-                for i in range(b.num_rows):
-                    met = traverse(dist[0][i].tolist(), dist[1][i].tolist(), near[0][i].tolist(), near[1][i].tolist(), k, counts, enough)
-                    by: dict[int, list[int]] = {}
-                    for c in met:
-                        h = c // k
-                        at_part = p.first[h] + rep[i] // 7 % p.asks[h]
-                        for r in range(p.rows[h]):
-                            by.setdefault(int(at_part + r * p.asks[h]), []).append(c)
-                    for to, cs in by.items():
-                        row.append(i)
-                        part.append(keys[to])
-                        cells.append(np.array(cs, np.int32).tobytes())
+                asker, met = traverse(book.value.distances(matrix(b)), k, counts, enough)
+                h = met // k
+                lines = p.rows[h]
+                each_line = np.repeat(np.arange(len(met)), lines)
+                line = np.arange(len(each_line)) - np.repeat(np.cumsum(lines) - lines, lines)
+                h, who = h[each_line], asker[each_line]
+                to = p.first[h] + (rep[who] // 7) % p.asks[h] + line * p.asks[h]
+                order = np.lexsort((to, who))
+                who, to, flat = who[order], to[order], met[each_line][order].astype(np.int32)
+                new = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (to[1:] != to[:-1]))) if len(who) else np.zeros(0, np.int64)
+                row, part = who[new], keys[to[new]]
+                cells = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer((4 * np.append(new, len(flat))).astype(np.int32)), pa.py_buffer(flat)])
                 take, f = pa.array(row, pa.int64()), pa.array(filed_row)
                 n, q = len(filed_row), len(row)
                 filed = [pa.array(where), pa.array(np.zeros(n, bool)), b["rep"].take(f), b["cell"].take(f), pa.nulls(n, pa.binary()), *[b[w].take(f) for w in WORDS]]
-                asked = [pa.array(part, pa.int32()), pa.array(np.ones(q, bool)), b["rep"].take(take), pa.array(np.zeros(q, np.int32)), pa.array(cells, pa.binary()), *[b[w].take(take) for w in WORDS]]
+                asked = [pa.array(part, pa.int32()), pa.array(np.ones(q, bool)), b["rep"].take(take), pa.array(np.zeros(q, np.int32)), cells, *[b[w].take(take) for w in WORDS]]
                 yield pa.RecordBatch.from_arrays(filed, schema=_ROUTED)
                 yield pa.RecordBatch.from_arrays(asked, schema=_ROUTED)
 
@@ -214,7 +236,7 @@ def _rerank(k: int, least: float):
     """Rows of a part in order: what is filed, by cell, then the queries."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, filed, index = None, [], None
+        part, filed, index, asked, waiting = None, [], None, [], 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -223,7 +245,9 @@ def _rerank(k: int, least: float):
             for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(p)]):
                 piece = b.slice(lo, hi - lo)
                 if p[lo] != part:
-                    part, filed, index = p[lo], [], None
+                    if asked:
+                        yield from _answer(asked, index, k, least)
+                    part, filed, index, asked, waiting = p[lo], [], None, [], 0
                 if not q[lo]:
                     filed.append((piece["rep"].to_numpy(), piece["cell"].to_numpy(), matrix(piece)))
                     continue
@@ -232,43 +256,51 @@ def _rerank(k: int, least: float):
                         continue
                     reps, cells, words = (np.concatenate(x) for x in zip(*filed))
                     held, start = np.unique(cells, return_index=True)
-                    index = (reps, words, np.bitwise_count(words).sum(axis=1, dtype=np.int32), held, start, np.append(start[1:], len(cells)))
+                    index = (reps, np.ascontiguousarray(words.T), np.bitwise_count(words).sum(axis=1, dtype=np.int32), held, np.append(start, len(cells)))
                     filed = []
-                yield from _answer(piece, index, k, least)
+                asked.append(piece)
+                waiting += piece.num_rows
+                if waiting >= ASKED:
+                    yield from _answer(asked, index, k, least)
+                    asked, waiting = [], 0
+        if asked:
+            yield from _answer(asked, index, k, least)
 
     return each
 
 
-def _answer(b: pa.RecordBatch, index: tuple, k: int, least: float) -> Iterator[pa.RecordBatch]:
-    reps, words, size, held, start, stop = index
-    rep, own = b["rep"].to_numpy(), matrix(b)
-    own_size = np.bitwise_count(own).sum(axis=1, dtype=np.int32)
+def _answer(pieces: list[pa.RecordBatch], index: tuple, k: int, least: float) -> Iterator[pa.RecordBatch]:
+    """All queries of each cell against all of its rows, one word of both at a time."""
+    b = pa.Table.from_batches(pieces).combine_chunks()
+    reps, words, size, held, start = index
+    rep = b["rep"].to_numpy()
+    own = np.stack([b[w].to_numpy().view(np.uint64) for w in WORDS])
+    own_size = np.bitwise_count(own).sum(axis=0, dtype=np.int32)
     lists = [np.frombuffer(x, np.int32) for x in b["cells"].to_pylist()]
     asker = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     wanted = np.concatenate(lists)
-    at = np.searchsorted(held, wanted)
+    order = np.argsort(wanted, kind="stable")
+    asker, wanted = asker[order], wanted[order]
+    cells, first = np.unique(wanted, return_index=True)
+    at = np.searchsorted(held, cells)
     at[at == len(held)] = 0
-    ok = held[at] == wanted
-    asker, at = asker[ok], at[ok]
-    length = stop[at] - start[at]
-    upto = np.cumsum(length)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    lo = 0
-    while lo < len(asker):
-        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + BLOCK, side="right")))
-        n = length[lo:hi]
-        who = np.repeat(asker[lo:hi], n)
-        cand = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[at[lo:hi]], n)
-        for s in range(0, len(who), BLOCK):
-            w, c = who[s : s + BLOCK], cand[s : s + BLOCK]
-            bound = np.minimum(own_size[w], size[c]) >= (least - 1e-9) * np.maximum(own_size[w], size[c])
-            w, c = w[bound], c[bound]
-            both = np.bitwise_count(own[w] & words[c]).sum(axis=1, dtype=np.int32)
-            like = both / (own_size[w] + size[c] - both)
-            hit = (like >= least) & (rep[w] != reps[c])
-            if hit.any():
-                found.append((rep[w[hit]], reps[c[hit]], like[hit]))
-        lo = hi
+    for c, lo, hi in zip(at[held[at] == cells].tolist(), first[held[at] == cells].tolist(), np.append(first[1:], len(wanted))[held[at] == cells].tolist()):
+        for s in range(start[c], start[c + 1], BLOCK // 16):
+            rows = slice(s, min(s + BLOCK // 16, int(start[c + 1])))
+            n = rows.stop - rows.start
+            for x in range(lo, hi, max(1, BLOCK // n)):
+                who = asker[x : min(hi, x + max(1, BLOCK // n))]
+                both = np.zeros((len(who), n), np.uint16)
+                for i in range(len(WORDS)):
+                    both += np.bitwise_count(own[i, who][:, None] & words[i, rows][None])
+                # Likeness of at least ``least``: shared bits are a share of the sum of sizes.
+                q, r = np.nonzero(both >= (least / (1 + least)) * (own_size[who][:, None] + size[rows][None]) - 1e-6)
+                if len(q):
+                    shared = both[q, r].astype(np.float64)
+                    like = shared / (own_size[who[q]] + size[rows][r] - shared)
+                    ok = (like >= least) & (rep[who[q]] != reps[rows][r])
+                    found.append((rep[who[q[ok]]], reps[rows][r[ok]], like[ok]))
     if found:
         a, o, x = (np.concatenate(y) for y in zip(*found))
         for owner, other in ((a, o), (o, a)):
@@ -280,7 +312,7 @@ def class_neighbours(cls: DataFrame, k: int = 5, least: float = 0.6, candidates:
     """``rep, other, likeness``: up to k most alike other classes of each class; ``cls`` should be a written table."""
     spark = cls.sparkSession
     n = cls.count()
-    grid = max(2, min(MAX_K, 2 ** round(math.log2(max(4.0, math.sqrt(n))) + 0.0)))
+    grid = max(2, min(MAX_K, math.ceil(math.sqrt(n / CELL_ROWS))))
     head = cls.orderBy("h1", "h2").limit(SAMPLE).select(*WORDS).toPandas()
     if not len(head):
         return spark.createDataFrame([], _PAIR_SQL)

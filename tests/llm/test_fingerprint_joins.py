@@ -120,15 +120,35 @@ def test_recall_counts_copies_as_molecules(spark):
     assert r["n_true"] == n and 0.95 * n <= r["n_found"] <= n
 
 
+def _visit(d0, d1, k, counts, enough, **options):
+    dist = [np.array([d0], np.float32), np.array([d1], np.float32)]
+    q, cells = multi_index.traverse(dist, k, counts, enough, **options)
+    assert not q.any()
+    return cells.tolist()
+
+
 def test_heap_order(monkeypatch):
     monkeypatch.setattr(multi_index, "LEAST_CELLS", 1)
     counts = np.ones(16, np.int32)
-    cells = multi_index.traverse([0.0, 1.0, 2.5, 9.0], [0.0, 2.0, 3.0, 4.0], [0, 1, 2, 3], [0, 1, 2, 3], 4, counts, 16)
+    cells = _visit([0.0, 1.0, 2.5, 9.0], [0.0, 2.0, 3.0, 4.0], 4, counts, 16)
     sums = [[0.0, 1.0, 2.5, 9.0][c // 4] + [0.0, 2.0, 3.0, 4.0][c % 4] for c in cells]
     assert sums == sorted(sums) and sorted(cells) == list(range(16))
     counts[:] = 0
     counts[5] = 3
-    assert multi_index.traverse([0.0, 1.0], [0.0, 1.0], [0, 1], [0, 1], 4, counts, 1) == [5]
+    assert _visit([0.0, 1.0, 5.0, 5.0], [0.0, 1.0, 5.0, 5.0], 4, counts, 1) == [5]
+
+
+@pytest.mark.parametrize("reach", [1, 2, 8])
+def test_far_cells_are_reached(reach):
+    """Near centroids that hold nothing don't end a search."""
+    counts = np.zeros(64, np.int32)
+    counts[[63, 7, 56]] = 5
+    d = list(range(8))
+    assert _visit(d, d, 8, counts, 15, reach=reach) == [7, 56, 63]
+    many = [np.tile(np.arange(8, dtype=np.float32), (50, 1))] * 2
+    counts[:50] = 1
+    q, cells = multi_index.traverse(many, 8, counts, 20, reach=reach)
+    assert np.bincount(q).tolist() == [24] * 50 or (np.bincount(q, weights=counts[cells]) >= 20).all()
 
 
 def test_empty(spark):
