@@ -259,4 +259,9 @@ def main_component(m: Molecule) -> tuple[list[int], list[int], list[int]]:
 
 def _several(m: Molecule) -> bool:
     """Whether there is more than one component, or a pair of atoms with more than one bond."""
-    return len(set(components(len(m.number), m.begin, m.end))) > 1 or len({(min(a, b), max(a, b)) for a, b in zip(m.begin, m.end)}) < len(m.begin)
+    n, pairs = len(m.number), set(zip(m.begin, m.end))
+    if len(pairs) < len(m.begin) or any(a > b and (b, a) in pairs for a, b in pairs):
+        return True
+    # An atom that no bond leads to from an earlier one begins a component, unless a ring bond joins it later.
+    starts = n - len(set(map(max, m.begin, m.end)))
+    return starts > 1 and len(set(components(n, m.begin, m.end))) > 1
