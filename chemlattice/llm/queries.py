@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chemlattice.llm import bloom, leaks, multi_index, packing, residue, setjoin, small_world
-from chemlattice.session import prepared, table
+from chemlattice.plans import smiles_sql as Q
+from chemlattice.session import prepared, shared_dir, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return small_world.repeats(table(spark, d, "smiles_index"), table(spark, d, "smiles_batches"))
 
 
+def p1_live(spark: SparkSession, d: str) -> DataFrame:
+    """The same, batch by batch as they arrive: each is looked up in the live segments, becomes one, and those due are merged."""
+    batches = table(spark, d, "smiles_batches")
+    held = small_world.History(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}")
+    held.create(table(spark, d, "smiles_index"), expected=table(spark, d, "smiles_index").count() + batches.count())
+    numbers = sorted(r[0] for r in batches.select("batch_no").distinct().collect() if r[0] is not None)  # ten
+    out = None
+    for n in [*numbers, None]:
+        part = batches.where(F.col("batch_no").eqNullSafe(F.lit(n)))
+        if n is None and part.limit(1).count() == 0:
+            continue
+        found = held.add(part)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def p1_recall(spark: SparkSession, d: str) -> DataFrame:
+    return small_world.recall(table(spark, d, "smiles_index"), table(spark, d, "smiles_batches"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return bloom.seen_before(table(spark, d, "key_lookups"), table(spark, d, "smiles_index"))
 
@@ -85,6 +108,8 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_live": p1_live,
+    "p1_recall": p1_recall,
     "p2_found": p2_found,
     "p2_error_share": p2_error_share,
     "p3_found": p3_found,
@@ -120,7 +145,21 @@ _GRAMS = """
     eg AS (SELECT DISTINCT item_id, unnest([array_to_string(w[i:i + 12], ' ') for i in range(1, len(w) - 11)]) AS k FROM e WHERE len(w) >= 13),
     leaks AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (k))"""
 
+# Skeletons of main components, told apart by refined colours, of all records.
+_ALL = "SELECT DISTINCT mol_id AS id, smiles, mol_id || ':0:' || coalesce(smiles, '') AS row FROM smiles_index WHERE mol_id IS NOT NULL UNION SELECT DISTINCT rec_id, smiles, rec_id || ':1:' || coalesce(smiles, '') FROM smiles_batches WHERE rec_id IS NOT NULL"
+_SKELETONS = f"""record AS MATERIALIZED ({_ALL}), {Q.parsed("SELECT row, smiles FROM record", "row", "m")}, {Q.directed("m", "row", "mends")}, {Q.components("m", "mends", "row", "part")},
+    zs AS MATERIALIZED (SELECT row, unnest(range(len(z)))::INTEGER AS a, unnest(z) AS z FROM m WHERE ok), heavy AS (SELECT row, a, root, z FROM part JOIN zs USING (row, a)),
+    nb AS (SELECT e.row, root, count(*) // 2 AS n_bonds FROM mends e JOIN part ON part.row = e.row AND part.a = e.a GROUP BY ALL),
+    main AS (SELECT row, root FROM (SELECT row, root, count(*) AS n, list_sort(list(z)) AS zl FROM heavy WHERE z <> 1 GROUP BY ALL) LEFT JOIN nb USING (row, root)
+        QUALIFY row_number() OVER (PARTITION BY row ORDER BY n DESC, coalesce(n_bonds, 0) DESC, zl DESC, root) = 1),
+    bone AS MATERIALIZED (SELECT row, a, z FROM heavy JOIN main USING (row, root) WHERE z <> 1),
+    joint AS MATERIALIZED (SELECT DISTINCT e.row, e.a, e.b, 0 AS k FROM mends e JOIN bone x ON x.row = e.row AND x.a = e.a JOIN bone y ON y.row = e.row AND y.a = e.b),
+    {Q.colours("bone", "joint", "row", "z", "e.k")}, known AS (SELECT id, split_part(row, ':', 2) = '1' AS is_new, shape FROM record JOIN shape USING (row))"""
+_REPEATS = f"WITH RECURSIVE {_SKELETONS}, firsts AS (SELECT shape, min(id) AS first_id FROM known GROUP BY shape) SELECT DISTINCT first_id, id AS rec_id FROM known JOIN firsts USING (shape) WHERE is_new AND first_id < id"
+
 SQL: dict[str, str] = {
+    "p1_found": _REPEATS,
+    "p1_live": _REPEATS,
     "p2_found": f"""
         WITH asked AS (SELECT DISTINCT lookup_id, {_KEY} AS k FROM key_lookups WHERE {_KEY} <> ''),
         earlier AS (SELECT k, min(pos) AS pos FROM (

@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from chemlattice.functions import canon
 from chemlattice.functions.smiles import main_component, parse
@@ -113,19 +112,63 @@ def test_beam_search_agrees_with_exhaustive_search():
 
 
 def test_kept_shards_serve_a_later_batch(spark, tmp_path):
+    """Calls of one batch each, with numbers that don't matter: what earlier ones brought is found, and live segments stay few."""
+    held = S.History(spark, str(tmp_path / "history"))
+    with pytest.raises(FileNotFoundError):
+        held.catalog()
+    held.create(spark.createDataFrame(HISTORY, "mol_id long, smiles string"), expected=30_000)
+    found, live = set(), []
+    batches = [[r for r in BATCHES if r[1] == n] for n in (1, 2, 3, 4, 5, 6)]
+    for rows in batches:
+        found |= {tuple(r) for r in held.add(spark.createDataFrame(rows, "rec_id long, batch_no int, smiles string")).collect()}
+        live.append(held.catalog().count())
+    later = [(900, 9, "C1CCCC1C1CCCC1"), (901, 9, "ClCCC"), (902, 9, "BrCCC"), (903, 9, "CCO")]
+    got = {tuple(r) for r in held.add(spark.createDataFrame(later, "rec_id long, batch_no int, smiles string")).collect()}
+    assert found == {p for p in FOUND if p[1] != 700} and got == {(102, 900), (301, 901), (1, 903)}
+    assert max(live) < 2 * S.COMPACT_AT and len({r["segment"] for r in held.catalog().collect()}) < len(batches)
+    assert held.add(spark.createDataFrame([], "rec_id long, batch_no int, smiles string")).count() == 0
+    held.vacuum()
+    kept = {p.name for p in (tmp_path / "history").iterdir() if p.name.startswith("segment=")}
+    assert kept == {f"segment={r['segment']}" for r in held.catalog().collect()}
+    again = S.History(spark, str(tmp_path / "history"))
+    assert {tuple(r) for r in again.add(spark.createDataFrame([(950, "CCC[Br]")], "rec_id long, smiles string")).collect()} == {(902, 950)}
+
+
+def test_live_segments_grow_with_the_logarithm():
+    sizes: list[int] = [1000]
+    most = 0
+    for n in range(500):
+        sizes.append(1 + n % 7)
+        while due := S._due(sizes):
+            sizes = [x for i, x in enumerate(sizes) if i not in due] + [sum(sizes[i] for i in due)]
+        most = max(most, len(sizes))
+    assert most <= (S.COMPACT_AT - 1) * (1 + S._tier(5000)) and sum(sizes) == 1000 + sum(1 + n % 7 for n in range(500))
+
+
+def test_ids_out_of_the_order_of_batches(spark):
+    rows = [(900, 1, "CCCN"), (800, 2, "NCCC"), (850, 3, "CCCN"), (700, None, "C(CC)N"), (950, 1, "CCCP"), (960, 7, "PCCC")]
+    b = spark.createDataFrame(rows, "rec_id long, batch_no int, smiles string")
+    h = spark.createDataFrame([(1, "O")], "mol_id long, smiles string")
+    assert {tuple(r) for r in S.repeats(h, b).collect()} == {(700, 800), (700, 850), (700, 900), (950, 960)}
+
+
+def test_a_graph_that_beams_do_not_serve_is_searched_exhaustively(monkeypatch):
+    monkeypatch.setattr(S, "MAX_BEAM", 1)
+    monkeypatch.setattr(S, "ENTRIES", 2)
+    rng = np.random.default_rng(4)
+    x = np.unique(rng.integers(0, 40, (3000, S.DIMENSIONS)).astype(np.float32), axis=0)
+    g = S.SmallWorld(x, beam=1)
+    g.links[:] = -1  # no way to anything
+    assert g.tune() == 1.0 and g.beam == 0
+    ids, dist = g.search(x)
+    assert (dist[:, 0] == 0).all() and (ids[:, 0] == np.arange(len(x))).all()
+
+
+def test_recall_counts_exactly(spark):
     h = spark.createDataFrame(HISTORY, "mol_id long, smiles string")
     b = spark.createDataFrame(BATCHES, "rec_id long, batch_no int, smiles string")
-    S.build(h, 4).write.parquet(str(tmp_path / "shards"))
-    shards = spark.read.parquet(str(tmp_path / "shards"))
-    mols = S._distinct(S.molecules(b, "rec_id", "smiles", F.col("batch_no"), 4))
-    S.absorb(shards, mols, keep_shards=True).write.parquet(str(tmp_path / "new"))
-    new = spark.read.parquet(str(tmp_path / "new"))
-    assert new.where("segment > 0").count() > 0
-    per_route = new.groupBy("route").count().collect()
-    assert all(r["count"] <= 2 * S.COMPACT_AT for r in per_route)
-    later = S._distinct(S.molecules(spark.createDataFrame([(900, 9, "C1CCCC1C1CCCC1"), (901, 9, "ClCCC"), (902, 9, "BrCCC"), (903, 9, "CCO")], "rec_id long, batch_no int, smiles string"), "rec_id", "smiles", F.col("batch_no"), 4))
-    got = {(r["first_id"], r["id"]) for r in S.absorb(shards.unionByName(new), later).collect()}
-    assert got == {(102, 900), (301, 901), (902, 902), (1, 903)}
+    r = S.recall(h, b).first()
+    assert (r["n_true"], r["n_found"], r["n_wrong"], r["share_lost"]) == (len(FOUND), len(FOUND), 0, 0.0)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 40])
