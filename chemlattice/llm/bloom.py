@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chemlattice.functions.canon import mix
-from chemlattice.session import slots
+from chemlattice.session import slots, stage
 
 GROWTH, TIGHTEN, FILL = 2, 0.5, 0.5
 #: Keys of the first layer of a shard's chain and of a task's own chain.
@@ -186,7 +187,8 @@ def _in_task(error_rate: float):
             keep = (kind[rows] == 2) | ~seen  # history has nothing to answer
             rows, seen = rows[keep], seen[keep]
             t = b.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([t["kind"], t["at"], t["h1"], t["h2"], pa.array(seen)], schema=_HASHED)
+            h = [pc.if_else(pa.array(seen), pa.scalar(None, pa.int64()), t[c]) for c in ("h1", "h2")]  # an answer needs no hashes
+            yield pa.RecordBatch.from_arrays([t["kind"], t["at"], *h, pa.array(seen)], schema=_HASHED)
 
     return each
 
@@ -256,6 +258,7 @@ def answers(lookups: DataFrame, history: DataFrame | None = None, state: DataFra
     own = rows.sortWithinPartitions("at").mapInArrow(_in_task(error_rate / 2), _HASHED_SQL)
     if history is not None:
         own = own.unionByName(hashes(history, 1, F.lit(0), key_column(history_key)).mapInArrow(_in_task(error_rate / 2), _HASHED_SQL))
+    own = stage(own, "first-pass")  # both its answers and its rest are needed, and it runs once
     shard = F.pmod(F.col("h1"), F.lit(shards)).cast("int").alias("shard")
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("layer", "int"), ("rate", "double"), ("capacity", "long"), ("n_keys", "long"), ("words", "binary"))]
     # What the first pass answered is a result already, but its keys went on in their first row of the same task.
