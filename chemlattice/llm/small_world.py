@@ -103,7 +103,9 @@ class SmallWorld:
         self.links = np.full((n, 2 * NEIGHBOURS), -1, np.int32) if links is None else links
         self.distance = np.full((n, 2 * NEIGHBOURS), np.inf, np.float32)
         self.size = 0 if links is None else n
-        if links is None and n:
+        if links is None and n <= ENTRIES:  # every node would be an entry point: searched whole, without links
+            self.size, self.beam = n, 0
+        elif links is None:
             self._grow()
 
     def _entries(self) -> np.ndarray:
@@ -229,7 +231,7 @@ class SmallWorld:
 
         Where the widest beam isn't enough, the graph is searched exhaustively from then on.
         """
-        if not self.size:
+        if not self.size or not self.beam:
             return 1.0
         at = np.unique(np.linspace(0, self.size - 1, min(self.size, TUNE)).astype(np.int64))
         q = self.vectors[at]
@@ -261,7 +263,7 @@ class Shard:
         self.graph = SmallWorld(vector, links, beam, agreement)
         self.by_node = np.argsort(self.node, kind="stable")
         self.start = np.searchsorted(self.node[self.by_node], np.arange(len(vector) + 1))
-        if links is None:
+        if links is None and self.graph.beam:
             self.graph.tune()
 
     def find(self, vector: np.ndarray, certificate: np.ndarray, hashed: np.ndarray, text: list[str]) -> np.ndarray:
