@@ -90,6 +90,14 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(int(length.sum())) + np.repeat(start - np.cumsum(length) + length, length)
 
 
+def _order(graph: np.ndarray, colour: np.ndarray) -> np.ndarray:
+    """Order by graph, then colour, by one key: the graph's number over as many high bits of the colour as there is room for."""
+    bits = np.uint64(int(graph[-1]).bit_length() if len(graph) else 0)
+    if not bits:
+        return np.argsort(colour)
+    return np.argsort((graph.astype(np.uint64) << (np.uint64(64) - bits)) | (colour >> bits))
+
+
 class _Part:
     """Directed edges of some of the graphs, in order of their targets, with a loop at each vertex."""
 
@@ -146,7 +154,7 @@ class _Part:
 
     def classes(self, colour: np.ndarray) -> tuple[np.ndarray, int]:
         """Order by (graph, colour), and the number of classes."""
-        order = np.lexsort((colour, self.graph))
+        order = _order(self.graph, colour)
         g, c = self.graph[order], colour[order]
         return order, int(1 + np.count_nonzero((g[1:] != g[:-1]) | (c[1:] != c[:-1]))) if len(c) else 0
 
@@ -206,7 +214,7 @@ def discrete(b: GraphBatch, colour: np.ndarray) -> np.ndarray:
 def certificates(b: GraphBatch, colour: np.ndarray) -> np.ndarray:
     """Two 64-bit words for each graph (see the module text)."""
     final = discrete(b, colour)
-    order = np.lexsort((final, b.graph))
+    order = _order(b.graph, final)
     rank = np.empty(len(final), np.int64)
     rank[order] = np.arange(len(final)) - b.first[b.graph[order]]
     out = np.empty((b.count, 2), np.uint64)
