@@ -205,3 +205,44 @@ def test_added_columns_replace_clashing_ones(spark):
     df = spark.createDataFrame([("CCO", 99, "x"), (None, 1, None)], "smiles string, n_atoms int, title string")
     got = with_molecules(df).orderBy("title").collect()
     assert [(r["title"], r["n_atoms"]) for r in got] == [(None, None), ("x", 3)]
+
+
+# Pairs of writings, and whether they are one molecule once rings are perceived.
+@pytest.mark.parametrize(
+    ("a", "b", "same"),
+    [("c1ccccc1", "C1=CC=CC=C1", True), ("n1cccc2ccccc12", "C1=CC2=CC=CC=C2N=C1", True), ("c1cc[nH]c1", "C1=CNC=C1", True), ("C1CCCCC1", "C1=CC=CC=C1", False), ("C1=CC=CC=CC=C1", "c1ccccc1", False), ("O=c1cc[nH]cc1", "O=C1C=CNC=C1", True), ("C=C1C=CC=CC1", "Cc1ccccc1", False)],
+)
+def test_rings_are_perceived(a, b, same):
+    from chemlattice.functions.aromatic import perceive
+
+    keys = canonical_keys([perceive(parse(a)), perceive(parse(b))])
+    assert (keys[0] == keys[1]) == same
+
+
+def test_keys_tell_charge_isotope_and_hydrogens_apart():
+    texts = ["N", "[NH4+]", "[NH2]", "[15NH3]", "[NH2-]"]
+    assert len(set(canonical_keys([parse(t) for t in texts]))) == len(texts)
+    assert len(set(canonical_keys([parse(t) for t in texts], identity=False))) == 1
+    assert canonical_keys([parse("[CH4]")]) == canonical_keys([parse("C")])
+
+
+def test_shuffled_writings_have_one_key():
+    """The atoms of each molecule in another order; several components too."""
+    import random
+
+    from chemlattice.functions.smiles import Molecule
+
+    rng = random.Random(4)
+    texts = ["C1CCCCC1.C1CC1", "CC(=O)Oc1ccccc1C(=O)O", "C1CC2CCC1CC2.[Na+].[Cl-]", "FC(F)(F)c1ccc(cc1)N1CCOCC1", "C12C3C4C1C5C2C3C45", "c1ccc2ccccc2c1.CCO.CCO"]
+    for t in texts:
+        m = parse(t)
+        keys = set()
+        for _ in range(8):
+            order = list(range(len(m.number)))
+            rng.shuffle(order)
+            to = {v: i for i, v in enumerate(order)}
+            bonds = [(to[a], to[b], k) if rng.random() < 0.5 else (to[b], to[a], k) for a, b, k in zip(m.begin, m.end, m.bond)]
+            rng.shuffle(bonds)
+            pick = lambda x: [x[v] for v in order]  # noqa: B023, E731
+            keys |= set(canonical_keys([Molecule(pick(m.number), pick(m.aromatic), pick(m.hydrogens), pick(m.charge), pick(m.isotope), [b[0] for b in bonds], [b[1] for b in bonds], [b[2] for b in bonds])]))
+        assert keys == set(canonical_keys([m])), t

@@ -144,3 +144,26 @@ def test_running_totals(spark):
 
 def test_bytes():
     assert stats.readable_bytes(999) == "999 bytes" and stats.readable_bytes(1500) == "1.5 KB"
+
+
+def test_bounds_reach_the_scan_of_an_index(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(i, "Path", 1024, B.host_words(rng.choice(1024, 1 + i % 200, replace=False).tolist(), 1024), -1) for i in range(3000)]
+    t = spark.createDataFrame(rows + rows[:5] + [(None, "Path", 1024, [1], 1), (7000, "Path", 1024, None, 1)], "mol_id long, fp_name string, n_bits int, fingerprint array<long>, bits int")
+    S.indexed(t, "Path", 1024).write.parquet(str(tmp_path / "index"))
+    held = spark.read.parquet(str(tmp_path / "index"))
+    assert held.count() == 3000
+    q = S.Query(rows[150][3], 1024)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    for n in (0.3, 0.7):
+        got = S.similar(held, q, n, counted="n")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(n" in plan and "LessThanOrEqual(n" in plan
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S.similar(t, q, n, strategy="brute").collect()))
+    assert "GreaterThanOrEqual(n" in S.screen(held, q, counted="n")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_query_wider_than_the_fingerprint_raises():
+    with pytest.raises(ValueError):
+        S.Query([0, 0, 0, 1], 192)
+    assert S.Query([1, 0, 0, 0], 192).bits == [0] and S.Query([1], 192).words == [1, 0, 0]

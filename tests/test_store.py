@@ -11,6 +11,7 @@ from chemlattice.sources.molecules import with_molecules
 from chemlattice.store import MoleculeStore, RecordingHandler
 from chemlattice.streaming import ingest
 
+# Four molecules with their titles, of which the counts below are known.
 FOUR = """[Cl-].OC(=O)C(CS)[NH3+] 9976
 CC(C)CCC[C@@H](C)[C@H]1CCC2C3CC=C4CC(CC[C@@]4(C)C3CC[C@@]12C)OC(=O)c1ccccc1 9978
 CCCC(=O)OC1CC[C@]2(C)C(=CCC3C4CC[C@H]([C@H](C)CCCC(C)C)[C@]4(C)CCC23)C1 9980
@@ -106,6 +107,33 @@ def test_recording_handler():
     assert second.records == [("INFO", "a")]
 
 
+def test_store_joins_both_writings_of_a_ring(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "c1ccccc1", "a"), (1, "C1=CC=CC=C1", "b"), (2, "C1CCCCC1", "c"), (3, "[NH4+]", "d"), (4, "N", "e"), (5, None, "f"), (6, "C(", "g")], "position long, smiles string, title string")
+    s = MoleculeStore(spark, str(tmp_path / "db"))
+    s.create(["Pattern"])
+    assert s.insert(rows) == (5, 4) and s.insert(rows) == (5, 0)
+    assert [r["mol_id"] for r in s.exact("C1=CC=CC=C1").collect()] == [0]
+    assert [r["mol_id"] for r in s.substructure("C1=CC=CC=C1").collect()] == [0]
+    w = MoleculeStore(spark, str(tmp_path / "w"), aromatic="written")
+    w.create(["Pattern"])
+    assert w.insert(rows) == (5, 5) and [r["n_inserted"] for r in w.log().collect()] == [5]
+    s.add_fingerprint("Layered")
+    s.add_fingerprint("Layered")
+    assert {r["fp_name"]: r["gen"] for r in s.catalog().collect()} == {"Pattern": 0, "Layered": 1}
+    assert s.fingerprint_table(["Layered"]).count() == 4
+
+
+def test_stream_merges_what_it_has_seen(spark, tmp_path):
+    known = spark.createDataFrame([("C",)], "smiles string")
+    for i in range(7):
+        spark.createDataFrame([(10 * i + j, k) for j, k in enumerate(["C", f"N{i}", f"N{i - 1}", f"O{i // 2}"])], "rec_id long, smiles string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("rec_id long, smiles string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ingest.ingest_stream(stream, known, str(tmp_path / "out"), str(tmp_path / "cp"), shards=4, every=3)
+    got = sorted(r["key"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted({f"N{i}" for i in range(-1, 7)} | {f"O{i // 2}" for i in range(7)})
+    assert (tmp_path / "out_seen" / "upto=6" / "_SUCCESS").exists()
+
+
 def test_matchers_agree(spark):
     smiles = ["CC(=O)NC", "NC=O", "c1ccccc1C(N)=O", "CCO", "C1CC1", "C1CCC1", None, "bad(", "N", "O=CNC=O"]
     df = with_molecules(spark.createDataFrame(list(enumerate(smiles)), "mol_id long, smiles string")).cache()
