@@ -58,6 +58,7 @@ COMPACT_AT = 4
 ROUTE_ROWS = 8_000
 TUNE = 256
 WANTED = 0.999
+MARGIN = 2  # lookups take a beam so many times as wide as the sample needed
 
 
 # Vectors
@@ -271,7 +272,7 @@ class Shard:
         out = np.full(len(vector), -1, np.int64)
         if not len(self.first) or not len(vector):
             return out
-        ids, dist = self.graph.search(vector)
+        ids, dist = self.graph.search(vector, MARGIN * self.graph.beam)
         hit = np.flatnonzero(dist[:, 0] <= 1e-3)
         for q in hit:
             node = ids[q, 0]
