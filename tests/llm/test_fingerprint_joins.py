@@ -1,10 +1,15 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chemlattice.functions.bits import host_words
 from chemlattice.llm import multi_index, setjoin
+from chemlattice.llm.fingerprints import classes, valid
+from chemlattice.session import stage
 
 SCHEMA = "mol_id long, fp_name string, n_bits int, fingerprint array<long>, rep long, part int"
 
@@ -96,6 +101,74 @@ def test_small_sets_in_crowded_lists(spark, monkeypatch, threshold, blocks):
     assert {r["mol_id"]: r["n_links"] for r in setjoin.linked_rows(_table(spark, sets), threshold).collect()} == _truth(sets, t=threshold)[2]
 
 
+def _crowded():
+    """Sets of which many share seven rare tokens, so that lists stay long at any depth."""
+    sets = _data(6, 300)
+    rng = np.random.default_rng(0)
+    for i in range(60):
+        sets[20_000 + i] = {*range(1000, 1007), *range(30), *rng.choice(np.arange(100, 900), 4, replace=False).tolist()}
+    first = {frozenset(s): i for i, s in sorted(sets.items(), reverse=True)}
+    return {i: set(s) for s, i in first.items()}
+
+
+def test_lists_are_joined_in_waves_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "LIST_ROWS", 10)
+    monkeypatch.setattr(setjoin, "HELD", 1)
+    monkeypatch.setattr(setjoin, "STEP", 50)
+    sets = _crowded()
+    written = setjoin.ordered(stage(classes(valid(_table(spark, sets)))))
+    tree = setjoin._tree(written, 0.8)
+    total = tree.place(0.8)
+    assert tree.divided.any() and tree.blocks.max() > 1 and tree.depth.max() == setjoin.DEPTH
+    batch = pa.Table.from_pandas(written.toPandas(), schema=setjoin._SETS, preserve_index=False).combine_chunks().to_batches()[0]
+
+    def sent(lo, hi):
+        return pa.Table.from_batches(setjoin._send(tree, 0.8, lo, hi)(iter([batch])))
+
+    keys = ("node", "a", "b", "rep")
+    rows = lambda t: Counter(zip(*(t[k].to_pylist() for k in keys)))
+    whole, apart, pairs, size = rows(sent(0, total)), Counter(), set(), total // 6 + 1
+    assert max(whole.values()) == 1
+    lists = Counter(k[:3] for k in whole)
+    for lo in range(0, total, size):
+        wave = sent(lo, lo + size)
+        assert wave.num_rows <= size + max(lists.values())
+        apart += rows(wave)
+        for b in setjoin._join(tree, 0.8)(iter(wave.sort_by([(k, "ascending") for k in keys[:3]]).to_batches(max_chunksize=7))):
+            found = list(zip(b["rep_a"].to_pylist(), b["rep_b"].to_pylist()))
+            assert len(set(found)) == len(found) and not pairs & set(found)
+            pairs |= set(found)
+    assert apart == whole and pairs == _truth(sets)[1]
+
+
+def test_waves_leave_no_shuffle_files(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "WAVE_ROWS", 1)
+    sets = _data(6, 300)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for f in (b.toString() for b in _each(disk.getAllBlocks())) if f.startswith("shuffle_")}
+    table, before = _table(spark, sets), held()
+    named, pairs = setjoin._linked(table, 0.8)
+    tables = 3  # the sums of the counting passes, a few rows each
+    assert len({f.split("_")[1] for f in held() - before}) <= tables
+    assert len(pairs.inputFiles()) > 4
+    assert {tuple(r) for r in setjoin.expand(named, pairs).collect()} == _truth(sets)[1]
+
+
+def _each(found):
+    return (found.apply(i) for i in range(found.size()))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_packed_tokens(seed):
+    rng = np.random.default_rng(seed)
+    rows = [[], [0], [1023], [254], [255], [256], [0, 255, 510, 766, 1023], list(range(1024)), []] + [sorted(rng.choice(1024, n, replace=False).tolist()) for n in rng.integers(0, 60, 50)]
+    sizes = np.array([len(x) for x in rows])
+    packed = setjoin._packed(np.concatenate(rows).astype(np.int16), sizes)
+    for part, want in ((packed, rows), (packed.slice(3, 20), rows[3:23]), (packed.slice(0, 1), rows[:1]), (packed.take(pa.array([4, 4, 1])), [rows[4], rows[4], rows[1]])):
+        tokens, n = setjoin._unpacked(part)
+        assert n.tolist() == [len(x) for x in want] and tokens.tolist() == [y for x in want for y in x]
+
+
 def test_hot_centroid_is_split(spark, monkeypatch):
     monkeypatch.setattr(multi_index, "PART_ROWS", 20)
     sets = _data(9, 400)
