@@ -30,7 +30,7 @@ from chemlattice.functions.graphs import Graph, regular_graph
 from chemlattice.functions.smiles import Molecule, parse
 from chemlattice.operators import search, substructure
 from chemlattice.operators.stats import readable_bytes
-from chemlattice.session import drop_staged, exists, spread, stage, tasks_for
+from chemlattice.session import drop_staged, exists, freeing, spread, stage, tasks_for
 from chemlattice.sources.molecules import canonical_keys, numbered, read_molecules, with_molecules
 
 log = logging.getLogger("chemlattice")
@@ -187,11 +187,27 @@ class MoleculeStore:
         With ``unique`` a key that the store or an earlier row has is left out: the first one wins. Unreadable rows are
         never inserted. Ids go on from the greatest one in the store, in the order of the input.
         """
+        self.catalog()
+        parsed = with_molecules(spread(rows.select("position", "smiles", "title")), aromatic=self.aromatic).where("canonical is not null")
+        read = stage(parsed, "insert")
+        try:
+            return self.insert_read(read, unique)
+        finally:
+            drop_staged(self.spark, read)
+
+    def insert_read(self, read: DataFrame, unique: bool = True) -> tuple[int, int]:
+        """``insert`` of readable rows that already have the columns of ``with_molecules``, with rings taken as this store does.
+
+        They are read several times, so they should come from files. Shuffle files are deleted after each write.
+        """
+        with freeing(self.spark):
+            return self._insert(read, unique)
+
+    def _insert(self, read: DataFrame, unique: bool) -> tuple[int, int]:
         names = self._generations()
         logged = self.log().orderBy(F.desc("batch")).first()
         batch, start = (logged["batch"] + 1, logged["next_id"]) if logged else (0, 0)
-        parsed = with_molecules(spread(rows.select("position", "smiles", "title")), aromatic=self.aromatic).where("canonical is not null")
-        read = stage(parsed.withColumn("k1", F.xxhash64("canonical")).withColumn("k2", F.xxhash64(F.lit(7), "canonical")), "insert")
+        read = read.withColumn("k1", F.xxhash64("canonical")).withColumn("k2", F.xxhash64(F.lit(7), "canonical"))
         n_read = read.count()
         keep = read.select("k1", "k2", "position")  # what is shuffled is narrow
         if unique:
@@ -203,7 +219,8 @@ class MoleculeStore:
                 keep = keep.join(known, ["k1", "k2"], "left_anti")
         ordered = keep.select("position").repartitionByRange("position").sortWithinPartitions("position")
         ids = numbered(ordered, "_n", keep=True).select("position", (F.col("_n") + start).alias("mol_id"))
-        new = stage(read.join(ids, "position").drop("position"), "insert", tasks_for(self.spark, n_read, 20_000))
+        parts = tasks_for(self.spark, n_read, 20_000)  # stated for both sides, so that the join's tasks are the next steps', too
+        new = stage(read.repartition(parts, "position").join(ids.repartition(parts, "position"), "position").drop("position"), "insert")
         n_new = new.count()
         self._write_fingerprints(new, names, batch)
         columns = [c.split(" ")[0] for c in _MOLECULES.split(", ") if c.split(" ")[0] != "batch"]
@@ -211,8 +228,7 @@ class MoleculeStore:
         new.select("k1", "k2").sort("k1").write.mode("overwrite").parquet(f"{self.path}/keys/batch={batch}")
         done = self.spark.createDataFrame([(n_read, n_new, start + n_new)], "n_read long, n_inserted long, next_id long")
         done.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/batch={batch}")
-        for x in (read, new):
-            drop_staged(self.spark, x)
+        drop_staged(self.spark, new)
         log.info("read %d, inserted %d", n_read, n_new)
         return n_read, n_new
 
@@ -234,8 +250,9 @@ class MoleculeStore:
         generations = self._generations()
         held = self.molecules()
         new = generations.get(name, -1) + 1
-        for b in self._batches():
-            self._write_fingerprints(held.where(F.col("batch") == b), {name: new}, b)
+        with freeing(self.spark):
+            for b in self._batches():
+                self._write_fingerprints(held.where(F.col("batch") == b), {name: new}, b)
         self._write_catalog(generations | {name: new})
 
     # Search

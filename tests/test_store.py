@@ -190,3 +190,24 @@ def test_stream_keeps_each_key_once(spark, tmp_path):
     spark.createDataFrame([(7, "N"), (8, "O")], "rec_id long, smiles string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     ingest.ingest_stream(stream(), known, str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted(r["key"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["CC", "N", "O"]
+
+
+def test_insert_leaves_no_shuffled_molecules(spark, tmp_path):
+    """What stays of shuffles is narrow: the counting passes' files, not those of whole molecules and fingerprints."""
+    import os
+
+    rows = spark.createDataFrame([(i, "C" * (i % 40 + 1) + "c1ccccc1" * (i % 3) + "O", str(i)) for i in range(3000)], "position long, smiles string, title string")
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held() -> dict[str, int]:
+        files = disk.getAllFiles()
+        paths = [files.apply(i).getPath() for i in range(files.size())]
+        return {p: os.path.getsize(p) for p in paths if os.path.basename(p).startswith("shuffle_") and os.path.exists(p)}
+
+    before = held()
+    s = MoleculeStore(spark, str(tmp_path / "s"))
+    s.create(["Pattern"])
+    assert s.insert(rows, unique=False) == (3000, 3000)
+    s.add_fingerprint("Torsion")
+    left = sum(n for p, n in held().items() if p not in before)
+    assert left < 120_000, left
