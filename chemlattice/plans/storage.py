@@ -19,23 +19,19 @@ from chemlattice.store import MoleculeStore
 from chemlattice.streaming import ingest
 
 
-def _rows(spark: SparkSession, d: str, name: str, key: str) -> DataFrame:
-    rows = table(spark, d, name).where(F.col(key).isNotNull()).dropDuplicates([key])
-    return rows.select(F.col(key).cast("long").alias("position"), "smiles", "title")
-
-
 def _store(spark: SparkSession, d: str, kind: str = "all") -> MoleculeStore:
     """A store of the index: ``all`` keeps repeats, ``unique`` leaves them out and takes in the batches next, ``more`` gets fingerprints later.
 
-    Rings are taken as written, as the SQL does. A store is built once for all queries of an application.
+    Rings are taken as written, as the SQL does. A store is built once for all queries of an application, and all stores
+    take the molecules as they were read once.
     """
 
     def make(path: str) -> None:
         s = MoleculeStore(spark, path, aromatic="written")
         s.create(["Pattern"])
-        s.insert(_rows(spark, d, "smiles_index", "mol_id"), unique=kind == "unique")
+        s.insert_read(C.records(spark, d, "smiles_index", "mol_id"), unique=kind == "unique")
         if kind == "unique":
-            s.insert(_rows(spark, d, "smiles_batches", "rec_id"))
+            s.insert_read(C.records(spark, d, "smiles_batches", "rec_id"))
         if kind == "more":
             s.add_fingerprint("Torsion")
             s.add_fingerprint("Pattern")

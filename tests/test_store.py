@@ -211,3 +211,16 @@ def test_insert_leaves_no_shuffled_molecules(spark, tmp_path):
     s.add_fingerprint("Torsion")
     left = sum(n for p, n in held().items() if p not in before)
     assert left < 120_000, left
+
+
+def test_stores_take_molecules_as_they_were_read_once(spark, tmp_path, monkeypatch):
+    from chemlattice.plans import chemistry, storage
+
+    index = [(1, "C[C@H](N)O", "a"), (1, "C[C@H](N)O", "a"), (2, "CCO", "b"), (3, "OCC", "c"), (4, "C(", "d"), (None, "C", "e")]
+    spark.createDataFrame(index, "mol_id long, smiles string, title string").write.parquet(str(tmp_path / "smiles_index.parquet"))
+    spark.createDataFrame([(1, "C(C)O", "x"), (2, "N", "y")], "rec_id long, smiles string, title string").write.parquet(str(tmp_path / "smiles_batches.parquet"))
+    read = []
+    monkeypatch.setattr("chemlattice.store.with_molecules", lambda *a, **k: pytest.fail("read again"))
+    monkeypatch.setattr(chemistry, "_parsed", lambda rows, key, f=chemistry._parsed: read.append(key) or f(rows, key))
+    assert storage.store_count(spark, str(tmp_path)).collect() == [(3, 3)]
+    assert set(read) == {"mol_id", "rec_id"}
